@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, pii, toxicity, warc
 
 #: The public rank file that queries and the pipeline encode with.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -16,15 +16,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANK_FILE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
+        "op3_warc": op3_warc,
+        "op5_toxicity": op5_toxicity,
         "op8_bpe": op8_bpe,
     }
 
 
+OP3_WARC_SQL = """
+WITH page AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), largest AS (
+  SELECT payload_digest, max(page_id) AS response FROM page WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN l.response IS NULL OR p.page_id IS NOT DISTINCT FROM l.response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN l.response IS NULL OR p.page_id IS NOT DISTINCT FROM l.response THEN NULL ELSE l.response END AS refers_to
+FROM page p LEFT JOIN largest l ON p.payload_bytes >= 1000 AND p.payload_digest = l.payload_digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_warc": OP3_WARC_SQL,
+    }
