@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, toxicity, warc
+from . import bpe, neighbours, pii, toxicity, urls, warc
 
 #: The public rank file that queries and the pipeline encode with.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -36,12 +36,23 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANK_FILE)
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": op2_pii,
         "op3_warc": op3_warc,
         "op5_toxicity": op5_toxicity,
         "op8_bpe": op8_bpe,
+        "op9_neighbours": op9_neighbours,
+        "op10_urls": op10_urls,
     }
 
 
