@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neighbours, pii, toxicity, urls, warc
+from . import bpe, neardup, neighbours, pii, secrets, toxicity, urls, warc
 
 #: The public rank file that queries and the pipeline encode with.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -47,8 +55,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neardup": op1_neardup,
         "op2_pii": op2_pii,
         "op3_warc": op3_warc,
+        "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
         "op8_bpe": op8_bpe,
         "op9_neighbours": op9_neighbours,
