@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, neighbours, pii, secrets, toxicity, urls, warc
+from . import bpe, decontaminate, neardup, neighbours, pii, secrets, toxicity, urls, warc
 
 #: The public rank file that queries and the pipeline encode with.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANK_FILE)
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
+        "op7_decontaminate": op7_decontaminate,
         "op8_bpe": op8_bpe,
         "op9_neighbours": op9_neighbours,
         "op10_urls": op10_urls,
