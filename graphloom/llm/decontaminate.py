@@ -138,7 +138,7 @@ def latent_basis(docs: DataFrame, items: list[str], idf: np.ndarray, rank: int =
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["v"])
 
         total = _tree_sum(sample.mapInArrow(run, "v binary"), np.float64)
-        total = np.zeros_like(q) if total is None else total.reshape(q.shape)
+        total = np.zeros_like(q) if total is None else total.reshape(q.shape).copy()
         for item in items:
             if len(ids := term_ids(words_of(item))):
                 _gram(ids, idf, q, total, len(ids))
