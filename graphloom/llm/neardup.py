@@ -218,10 +218,9 @@ def _hub_pairs(members: DataFrame, at_least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
     """(a, b, jaccard, aligned) of the pairs that hold on their whole texts."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().persist()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").dropDuplicates(["id"])
+    texts = texts.join(_sized(wanted), "id", "left_semi").dropDuplicates(["id"])
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -263,8 +262,18 @@ def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES,
     return whole.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast where a count shows that they are few, else joined through a shuffle."""
+    ids = ids.persist()
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def keep_one(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class, one row each; rows without doc_id stay."""
-    found = classes(docs, at_least).where("doc_id is null or doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    found = written(classes(docs, at_least).where("doc_id is not null"), "classes")
+    dropped = found.where("doc_id <> class_id").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    kept = docs.join(_sized(dropped), "doc_id", "left_anti").select(*docs.columns)
+    repeated = _sized(repeated)
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

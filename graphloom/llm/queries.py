@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, neighbours, pii, secrets, toxicity, urls, warc
+from . import bpe, decontaminate, neardup, neighbours, pii, quality, secrets, toxicity, urls, warc
 
 #: The public rank file that queries and the pipeline encode with.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
+        "op6_quality": op6_quality,
         "op7_decontaminate": op7_decontaminate,
         "op8_bpe": op8_bpe,
         "op9_neighbours": op9_neighbours,
