@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import Graph
 from ..lineage import cut
+from ..plans.direction import Direction
+from ..plans.superstep import Result, VertexProgram, run
 
 MAX_ROUNDS = 200
 
@@ -61,3 +64,33 @@ def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     found = stars.union(roots)
     alone = loops.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
     return found.union(alone)
+
+
+def min_label_program() -> VertexProgram:
+    return VertexProgram(
+        init=F.col("id"),
+        active=F.lit(True),
+        message=F.col("value"),
+        reduce=F.min,
+        accept=F.col("msg") < F.col("value"),
+        update=F.col("msg"),
+    )
+
+
+def directed_components(graph: Graph, direction: Direction | None = None, stats: bool = False) -> Result:
+    """Smallest id among the vertices that can reach each vertex (itself included), by supersteps.
+
+    That is the weak component only where every edge has its reverse; see ``weak_components``.
+    """
+    return run(graph, min_label_program(), direction, stats=stats)
+
+
+def undirected_components(graph: Graph) -> DataFrame:
+    """(id, label): smallest id of each vertex's weakly connected component, for all vertices."""
+    found = weak_components(graph.edges)
+    return graph.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+
+
+def sizes(labels: DataFrame) -> DataFrame:
+    """(label, size) of each component."""
+    return labels.groupBy("label").agg(F.count("*").alias("size"))
