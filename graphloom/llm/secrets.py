@@ -230,7 +230,8 @@ def digests(docs: DataFrame, text: str = "text") -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by a mark (overlapping spans by one) and n_chars, if there, brought up to date."""
     columns = docs.columns
-    found = scan(docs, text)
+    # the row goes along as one value, so that no column of it can clash with those of the scan
+    found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(f"`{text}`").alias("_value")), "_value")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, span: Column) -> Column:
@@ -241,9 +242,16 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Dat
     def close(state: Column) -> Column:
         return F.concat(F.array_join(state["parts"], ""), F.substring(F.col("_text"), state["at"] + 1, F.length("_text")))
 
-    clean = F.when(F.size("_all") > 0, F.aggregate("_all", start, step, close)).otherwise(F.col(text))
-    done = found.withColumn(text, clean.cast(docs.schema[text].dataType))
-    if "n_chars" in columns:
-        changed = F.when(F.size("_all") > 0, F.length(text)).otherwise(F.col("n_chars"))
-        done = done.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return done.select(*columns)
+    hit = F.size("_all") > 0
+    clean = F.when(hit, F.aggregate("_all", start, step, close)).otherwise(F.col("_value").cast("string"))
+    done = found.withColumn("_clean", clean)
+
+    def column(name: str) -> Column:
+        value = F.col("_row").getField(name)
+        if name == text:
+            value = F.col("_clean").cast(docs.schema[name].dataType)
+        elif name == "n_chars":
+            value = F.when(hit, F.length("_clean").cast(docs.schema[name].dataType)).otherwise(value)
+        return value.alias(name)
+
+    return done.select(*map(column, columns))

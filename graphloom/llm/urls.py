@@ -127,7 +127,7 @@ def verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataF
 
     edges = link_edges(pages)
     if redirects is not None:
-        logged = redirects.select(node_of(F.col("src").cast("string")).alias("src"), node_of(F.col("dst").cast("string")).alias("dst"), F.col("dst").cast("string"))
+        logged = redirects.select(node_of(F.col("src").cast("string")).alias("src"), node_of(F.col("dst").cast("string")).alias("dst"), F.col("dst").cast("string").alias("target"))
         edges = edges.union(logged.where("src <> dst"))
     edges = written(edges, "alias-edges")
     classes = weak_components(edges.select("src", "dst").distinct())
