@@ -71,8 +71,8 @@ def pagerank(
     n = graph.n_vertices
     state = initial(graph)
     if vertex_phase and n:
-        # dealt out by source once, so that each iteration's join shuffles state only
-        edges = cut(graph.edges.repartition(F.col("src")))
+        # derived once; the join by source stays adaptive, so that a hub's edges can be split
+        edges = cut(graph.edges)
         state, gathered = _stored(initial(Graph(graph.vertices, edges)))
         for _ in range(iterations):
             if edge_phase:

@@ -101,8 +101,8 @@ def _stored(state: DataFrame, weight: Column) -> tuple[DataFrame, int, int]:
 def run(graph: Graph, program: VertexProgram, direction: Direction | None = None, max_iterations: int = 10_000, stats: bool = False) -> Result:
     """Supersteps until the vote is zero (the superstep that finds nothing counts too)."""
     direction = direction or Direction()
-    # dealt out by source once, so that each superstep shuffles state only
-    edges = cut(graph.edges.repartition(F.col("src")))
+    # derived once; the join by source stays adaptive, so that a hub's edges can be split
+    edges = cut(graph.edges)
     n, m = graph.n_vertices, edges.count()
     state, n_active, degrees = _stored(start(Graph(graph.vertices, edges), program), F.col("outdeg"))
     vote = direction.first_vote(n_active, degrees)
