@@ -27,8 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
+
 #: Segments kept in a worker's cache; when full it is emptied, so memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Segments handled at a time within one text.
 CHUNK = 50_000
 #: Unicode white space, as \\s means it to the rank files' pattern.
@@ -174,6 +176,7 @@ def tokens(docs: DataFrame, rank_file: str, text: str = "text") -> DataFrame:
                     ["doc_id", "ids", "decoded"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(
         run, "doc_id long, ids array<int>, decoded string"
     )
@@ -215,6 +218,7 @@ def digests(docs: DataFrame, rank_file: str, text: str = "text") -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     )

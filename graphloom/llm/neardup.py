@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import written
 from ..operators.components import weak_components
+from .batches import small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -50,7 +51,7 @@ ROUNDS = 2
 ALIGNED = 0.6
 #: Ids of candidate texts that may be broadcast (16 bytes each: at most 16 MB).
 BROADCAST_IDS = 1_000_000
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 100_000
 
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Weights of the words of a shingle, and a seed a hash function: odd numbers from a fixed generator.
@@ -239,6 +240,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
 
 def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES, order: int = ORDER, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, class_id) of each row: the smallest doc_id of its class of near duplicates."""
+    small_batches(docs.sparkSession)
     made = written(sketches(docs, hashes, order), "sketches")
     texts = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     texts = written(texts, "texts")

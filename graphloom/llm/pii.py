@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .folding import SHAPES
 
 # The kinds in their order.
@@ -264,6 +265,7 @@ def digests(docs: DataFrame, text: str = "text") -> DataFrame:
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
             )
 
+    small_batches(docs.sparkSession)
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(
         run, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long"
@@ -287,6 +289,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
                     }
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(
         run, "doc_id long, kind string, start long, end long, value string"
     )

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .toxicity import held_out, logistic
 
 MAX_LABELLED = 20_000
@@ -200,6 +201,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, max_sources: int = MAX_SOURCES) -> Model:
     rows = _plain(docs)
+    small_batches(docs.sparkSession)
     # counted over all rows; max_sources names reach the driver
     frequent = lambda c, n: tuple(r[c] for r in rows.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(n).collect())
     metadata = Metadata(frequent("lang", 100), frequent("source", max_sources))
@@ -244,5 +246,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 ["doc_id", "score", "predicted", "keep"],
             )
 
+    small_batches(docs.sparkSession)
     scored = _plain(docs).mapInArrow(run, "doc_id long, score double, predicted int, keep boolean")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "keep")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .folding import LETTERS
 
 #: Phrases in which a term is no insult (editorial; a parameter of the model).
@@ -178,6 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train:
     enough rows; what reaches the driver is at most ``max_terms`` terms and
     three numbers a training row.
     """
+    small_batches(docs.sparkSession)
     rows = _distinct_texts(_training_rows(docs, labels, target, max_train)).persist()
     try:
         n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
@@ -238,6 +240,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
                 ["doc_id", "score", "predicted", "hits"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, score double, predicted int, hits int"
     )
@@ -246,6 +249,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, as they are."""
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import new_path
+from .batches import small_batches
 
 MIN_BYTES = 1000
 #: Rows an archive holds at most: it bounds the size of the pieces that are read back.
@@ -310,6 +311,7 @@ def merged(index_runs: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFra
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write the archives, read them back, and return their merged index."""
     spark = pages.sparkSession
+    small_batches(spark)
     archives, index = new_path(spark, "warc"), new_path(spark, "warc-runs")
     write(pages, archives, min_bytes)
     runs(spark, archives).write.parquet(index)
