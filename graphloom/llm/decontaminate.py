@@ -7,8 +7,9 @@
    basis is fitted to the benchmark's items and the passages of at most ``max_fit``
    documents (the lowest by a hash of doc_id); everything else covers all rows.
 3. Every document is cut into blocks of eight words; sums of 2, 4, 8, ... blocks are
-   passages of 16, 32, 64, ... words. A passage whose cosine with an item in
-   the latent space reaches ``near`` makes the pair a candidate.
+   passages of 16, 32, 64, ... words, each half a passage after the last. An item is
+   compared with all passages of the width nearest to its length; a cosine in the
+   latent space of at least ``near`` makes a candidate.
 4. A candidate counts if the longest common subsequence of the item's words and a
    stretch little longer than the item covers ``overlap`` of the item, and, for items
    that state an answer (after a last question mark or ``answer:``), if the answer's
@@ -24,48 +25,121 @@ items (or documents) there are no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TERMS = 8192
-RANK = 48
-MAX_FIT = 2_000
-NEAR = 0.5
+from ..lineage import written
+from .batches import small_batches
+
+TERM_BITS = 13
+TERMS = 1 << TERM_BITS
+RANK = 128
+MAX_FIT = 1_000
+NEAR = 0.4
+#: Tasks that the fit's sample is spread over.
+_FIT_TASKS = 8
 OVERLAP = 0.7
 ITEM_BLOCK = 5_000
 BLOCK = 8
 _FIT_WORDS = 32
-_CACHE_WORDS = 400_000
 _ROWS = 4096
 
-_WORD = re.compile(r"\w+")
 _ANSWER = re.compile(r"(?:^|\b)answer\s*:\s*(.+)$|\?\s*([^?]+)$", re.I | re.S)
 
+#: Bytes of words: letters, digits, underscore, and all that UTF-8 needs beyond ASCII.
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+#: Bytes handled at a time (a longer word is cut there).
+_PIECE = 1 << 18
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_PIECE, _BASE, np.uint64)])
+_INVERSE = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_PIECE, pow(_BASE, -1, 1 << 64), np.uint64)])
+
+
+@dataclass(frozen=True)
+class Words:
+    """The lower-cased words of a text: where they stand in its bytes, and their hashed terms."""
 
-class _TermIds(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = made = crc32(word.encode("utf-8")) % TERMS
-        return made
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    terms: np.ndarray
 
+    @classmethod
+    def of(cls, text: str | None) -> Words:
+        data = (text or "").lower().encode("utf-8")
+        made, at = [], 0
+        while at < len(data):
+            stop = at + _PIECE
+            if stop < len(data):
+                # back to the last byte between words, if there is one
+                while stop > at and _IN_WORD[data[stop - 1]]:
+                    stop -= 1
+                stop = stop if stop > at else at + _PIECE
+            made.append(cls._piece(data, at, min(stop, len(data))))
+            at = stop
+        if not made:
+            none = np.zeros(0, np.int64)
+            return cls(data, none, none, none)
+        return cls(data, *(np.concatenate(parts) for parts in zip(*made, strict=True)))
+
+    @staticmethod
+    def _piece(data: bytes, at: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A word's hash is the polynomial of its bytes: a difference of running sums, moved to power 0."""
+        piece = np.frombuffer(data, np.uint8, stop - at, at)
+        edge = np.flatnonzero(np.diff(_IN_WORD[piece].view(np.int8), prepend=0, append=0))
+        starts, ends = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(piece * _POWERS[: len(piece)], out=sums[1:])
+            value = (sums[ends] - sums[starts]) * _INVERSE[starts]
+            value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return starts + at, ends + at, (value >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
-_IDS = _TermIds()
+    @classmethod
+    def of_many(cls, texts: list[str | None]) -> tuple[Words, np.ndarray]:
+        """The words of several texts together, and which text each is in."""
+        parts = [(t or "").lower() for t in texts]
+        sizes = np.array([len(p) if p.isascii() else len(p.encode("utf-8")) for p in parts], np.int64)
+        words = cls.of("\n".join(parts))
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        return words, np.searchsorted(begins, words.starts, "right") - 1
 
+    def __len__(self) -> int:
+        return len(self.terms)
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    def between(self, first: int, last: int) -> list[bytes]:
+        spans = zip(self.starts[max(0, first) : last].tolist(), self.ends[max(0, first) : last].tolist(), strict=True)
+        return [self.data[s:e] for s, e in spans]
 
 
-def term_ids(words: list[str]) -> np.ndarray:
-    if len(_IDS) > _CACHE_WORDS:
-        _IDS.clear()
-    return np.fromiter(map(_IDS.__getitem__, words), np.int64, len(words))
+def together(texts: list[str | None], size: int = _PIECE // 2) -> Iterator[list[str | None]]:
+    """Texts in groups of about ``size`` characters (a longer text is a group of its own)."""
+    group, total = [], 0
+    for text in texts:
+        if group and total + len(text or "") > size:
+            yield group
+            group, total = [], 0
+        group.append(text)
+        total += len(text or "")
+    if group:
+        yield group
+
+
+def words_of(text: str | None) -> list[bytes]:
+    words = Words.of(text)
+    return words.between(0, len(words))
+
+
+def term_ids(text: str | None) -> np.ndarray:
+    return Words.of(text).terms
 
 
 def _tree_sum(parts: DataFrame, dtype: type) -> np.ndarray | None:
@@ -84,11 +158,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen = np.zeros(TERMS + 1, bool)
-                seen[term_ids(words_of(text))] = True
-                seen[TERMS] = True
-                total += seen
+            for group in together(batch.column(0).to_pylist()):
+                words, text_of = Words.of_many(group)
+                for first in range(0, len(group), 256):
+                    mine = (text_of >= first) & (text_of < first + 256)
+                    seen = np.zeros((min(256, len(group) - first), TERMS), bool)
+                    seen[text_of[mine] - first, words.terms[mine]] = True
+                    total[:TERMS] += seen.sum(axis=0)
+                total[TERMS] += len(group)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     total = _tree_sum(docs.select(F.col("text").cast("string")).mapInArrow(run, "v binary"), np.int64)
@@ -126,21 +203,22 @@ def latent_basis(docs: DataFrame, items: list[str], idf: np.ndarray, rank: int =
     """
     chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
     # at most max_fit ids of 8 bytes
-    sample = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.col("text").cast("string"))
+    sample = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"))
+    sample = written(sample.repartition(_FIT_TASKS, F.xxhash64("text")), "passages")
 
     def product(q: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros_like(q)
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    if len(ids := term_ids(words_of(text))):
+                    if len(ids := term_ids(text)):
                         _gram(ids, idf, q, out, _FIT_WORDS)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["v"])
 
         total = _tree_sum(sample.mapInArrow(run, "v binary"), np.float64)
         total = np.zeros_like(q) if total is None else total.reshape(q.shape).copy()
         for item in items:
-            if len(ids := term_ids(words_of(item))):
+            if len(ids := term_ids(item)):
                 _gram(ids, idf, q, total, len(ids))
         return total
 
@@ -151,7 +229,7 @@ def latent_basis(docs: DataFrame, items: list[str], idf: np.ndarray, rank: int =
     return q @ vectors[:, top] / np.maximum(values[top], 1e-9)
 
 
-def common_subsequence(positions: dict[str, int], size: int, words: list[str]) -> int:
+def common_subsequence(positions: dict[bytes, int], size: int, words: list[bytes]) -> int:
     """Length of the longest common subsequence, bit-parallel; ``positions`` has each word's bits in a text of ``size``."""
     full = (1 << size) - 1
     row = full
@@ -163,8 +241,8 @@ def common_subsequence(positions: dict[str, int], size: int, words: list[str]) -
     return size - row.bit_count()
 
 
-def _bits(words: list[str]) -> dict[str, int]:
-    bits: dict[str, int] = {}
+def _bits(words: list[bytes]) -> dict[bytes, int]:
+    bits: dict[bytes, int] = {}
     for k, word in enumerate(words):
         bits[word] = bits.get(word, 0) | 1 << k
     return bits
@@ -173,16 +251,17 @@ def _bits(words: list[str]) -> dict[str, int]:
 @dataclass(frozen=True)
 class Item:
     item_id: int | None
-    words: tuple[str, ...]
-    answer: tuple[str, ...]
+    words: tuple[bytes, ...]
+    answer: tuple[bytes, ...]
+    terms: np.ndarray
 
     @classmethod
     def of(cls, item_id: int | None, text: str | None) -> Item:
         found = _ANSWER.search(text or "")
         answer = words_of(next((g for g in found.groups() if g), "")) if found else []
-        return cls(item_id, tuple(words_of(text)), tuple(answer))
+        return cls(item_id, tuple(words_of(text)), tuple(answer), term_ids(text))
 
-    def share(self, region: list[str], bits: dict[str, int]) -> float:
+    def share(self, region: list[bytes], bits: dict[bytes, int]) -> float:
         return common_subsequence(bits, len(self.words), region) / len(self.words)
 
 
@@ -191,73 +270,95 @@ class Detector:
 
     def __init__(self, items: list[Item], terms: np.ndarray, near: float = NEAR, overlap: float = OVERLAP):
         self.items, self.near, self.overlap = [i for i in items if i.words], near, overlap
-        self.terms = terms.astype(np.float32)
+        # the last term is no word: it fills texts up to whole blocks
+        self.terms = np.vstack([terms, np.zeros((1, terms.shape[1]))]).astype(np.float32)
         self.bits = [_bits(list(i.words)) for i in self.items]
-        made = [self.terms[term_ids(list(i.words))].sum(axis=0) for i in self.items]
-        vectors = np.stack(made) if made else np.zeros((0, terms.shape[1]), np.float32)
-        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).T.copy()
-        longest = max((len(i.words) for i in self.items), default=BLOCK)
-        self.spans = [2]
-        while self.spans[-1] * BLOCK < longest:
-            self.spans.append(self.spans[-1] * 2)
-
-    def candidates(self, words: list[str]) -> set[tuple[int, int, int]]:
-        """(item, first word, length of passage) of the passages near an item."""
-        n = len(words)
-        ids = term_ids(words)
-        near: set[tuple[int, int, int]] = set()
-        # a long text in stretches that overlap by the longest passage
-        reach = self.spans[-1] * BLOCK
-        step = _ROWS * BLOCK
-        for start in range(0, max(n, 1), step):
-            part = ids[start : start + step + reach]
-            if not len(part) or (start and len(part) <= reach):
-                break
-            blocks = self.terms[part]
-            if spare := -len(part) % BLOCK:
-                blocks = np.concatenate([blocks, np.zeros((spare, blocks.shape[1]), np.float32)])
-            sums = blocks.reshape(-1, BLOCK, blocks.shape[1]).sum(axis=1)
-            width = 1
-            for span in self.spans:
+        self.tables: dict[int, np.ndarray] = {}
+        # an item is sought at the width (in blocks) nearest to its length
+        self.spans: list[tuple[int, np.ndarray, np.ndarray]] = []
+        widths = np.array([max(1, round(math.log2(max(1, len(i.words)) / BLOCK))) for i in self.items], int)
+        for width in sorted(set(widths.tolist())):
+            mine = np.flatnonzero(widths == width)
+            self.spans.append((1 << width, mine, self._unit(np.stack([self.terms[self.items[k].terms].sum(axis=0) for k in mine])).T.copy()))
+
+    @staticmethod
+    def _unit(rows: np.ndarray) -> np.ndarray:
+        return rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+
+    def candidates(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(items, first blocks, blocks of a passage) of the passages near an item, in a run of whole blocks of terms."""
+        # a long run in stretches that overlap by the longest passage
+        reach, step = self.spans[-1][0], _ROWS
+        for start in range(0, len(terms) // BLOCK, step):
+            part = terms[start * BLOCK : (start + step + reach) * BLOCK]
+            sums, width = self.terms[part].reshape(-1, BLOCK, self.terms.shape[1]).sum(axis=1), 1
+            for span, items, vectors in self.spans:
                 while width < span:
-                    if len(sums) > 1:
-                        # passages of twice the width, at every place where one of half the width starts
-                        shifted = np.concatenate([sums[width:], np.zeros((min(width, len(sums)), sums.shape[1]), np.float32)])
-                        sums = sums + shifted[: len(sums)]
-                    width *= 2
+                    # passages of twice the width, at every place where one of half the width starts
+                    wider = sums.copy()
+                    wider[: max(0, len(sums) - width)] += sums[width:]
+                    sums, width = wider, width * 2
                 stride = max(1, span // 2)
-                passages = sums[::stride]
-                norm = np.sqrt(np.einsum("ij,ij->i", passages, passages))
-                cosines = (passages @ self.vectors) / np.maximum(norm, 1e-9)[:, None]
-                rows, cols = np.nonzero(cosines >= self.near)
-                near.update(zip(cols.tolist(), (start + rows * stride * BLOCK).tolist(), [span * BLOCK] * len(rows), strict=True))
-        return near
+                rows, cols = np.nonzero(self._unit(sums[::stride]) @ vectors >= self.near)
+                if len(rows):
+                    yield items[cols], start + rows * stride, span
+
+    def find_many(self, texts: list[str | None]) -> list[list[tuple[int | None, float]]]:
+        """Of each text, the (item_id, share of its words in order) of the items that it holds."""
+        found: list[list[tuple[int | None, float]]] = []
+        for group in together(texts):
+            found += self._find(group) if self.items else [[] for _ in group]
+        return found
 
     def find(self, text: str | None) -> list[tuple[int | None, float]]:
-        """(item_id, share of its words in order) of the items that the text holds."""
-        words = words_of(text)
-        if not words or not self.items:
-            return []
-        best: dict[int, float] = {}
-        for k, first, length in self.candidates(words):
-            item = self.items[k]
-            size = len(item.words)
-            if best.get(k, 0.0) >= 1.0:
-                continue
-            region = words[max(0, first - size) : first + length + size]
-            share = item.share(region, self.bits[k])
-            if share >= self.overlap and self._close(item, region, k) and self._answered(item, region):
-                best[k] = max(best.get(k, 0.0), share)
-        return sorted(((self.items[k].item_id, s) for k, s in best.items()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-
-    def _close(self, item: Item, region: list[str], k: int) -> bool:
+        return self.find_many([text])[0]
+
+    def _find(self, texts: list[str | None]) -> list[list[tuple[int | None, float]]]:
+        words, text_of = Words.of_many(texts)
+        counts = np.bincount(text_of, minlength=len(texts))
+        first_word = np.cumsum(counts) - counts
+        # texts start where passages of every width do
+        stride = max(1, self.spans[-1][0] // 2)
+        blocks = -(-counts // (BLOCK * stride)) * stride
+        first_block = np.cumsum(blocks) - blocks
+        terms = np.full(int(blocks.sum()) * BLOCK, TERMS)
+        terms[first_block[text_of] * BLOCK + np.arange(len(words)) - first_word[text_of]] = words.terms
+        best: list[dict[int, float]] = [{} for _ in texts]
+        filled = np.flatnonzero(blocks)
+        for items, at, span in self.candidates(terms):
+                # a passage that runs into the next text adds nothing: its region ends with its own text
+            texts_at = filled[np.searchsorted(first_block[filled], at, "right") - 1]
+            for k, t, first in zip(items.tolist(), texts_at.tolist(), ((at - first_block[texts_at]) * BLOCK).tolist(), strict=True):
+                item, base = self.items[k], int(first_word[t])
+                size = len(item.words)
+                if best[t].get(k, 0.0) >= 1.0:
+                    continue
+                start, stop = base + max(0, first - size), base + min(int(counts[t]), first + span * BLOCK + size)
+                # a common subsequence can't be longer than the words that the item has at all
+                if np.count_nonzero(self._has(k)[words.terms[start:stop]]) < self.overlap * size:
+                    continue
+                region = words.between(start, stop)
+                share = item.share(region, self.bits[k])
+                if share >= self.overlap and self._close(item, region, k) and self._answered(item, region):
+                    best[t][k] = max(best[t].get(k, 0.0), share)
+        order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+        return [sorted(((self.items[k].item_id, s) for k, s in b.items()), key=order) for b in best]
+
+    def _has(self, k: int) -> np.ndarray:
+        """Which terms an item has; made when the item is first met."""
+        if k not in self.tables:
+            self.tables[k] = np.zeros(TERMS, bool)
+            self.tables[k][self.items[k].terms] = True
+        return self.tables[k]
+
+    def _close(self, item: Item, region: list[bytes], k: int) -> bool:
         """The common words stand together: some stretch a quarter longer than the item holds them."""
         size = len(item.words)
         width, stride = size + max(4, size // 4), max(1, size // 8)
         last = max(1, len(region) - width + stride)
         return any(item.share(region[s : s + width], self.bits[k]) >= self.overlap for s in range(0, last, stride))
 
-    def _answered(self, item: Item, region: list[str]) -> bool:
+    def _answered(self, item: Item, region: list[bytes]) -> bool:
         if not item.answer:
             return True
         return common_subsequence(_bits(list(item.answer)), len(item.answer), region) >= 0.5 * len(item.answer)
@@ -269,6 +370,7 @@ def detectors(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap
     count = rows.count()
     if not count:
         return
+    small_batches(docs.sparkSession)
     frequency, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + frequency)) + 1e-3
     blocks = -(-count // item_block)
@@ -293,7 +395,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def _reporting(detector: Detector) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(d, i, s) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, s in detector.find(t)]
+            found = detector.find_many(batch.column(1).to_pylist())
+            out = [(d, i, s) for d, pairs in zip(batch.column(0).to_pylist(), found, strict=True) for i, s in pairs]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())],
                 ["doc_id", "item_id", "overlap"],
@@ -309,7 +412,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], detector: Detector = detector) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not detector.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not found for found in detector.find_many(batch.column(at).to_pylist())], pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept
