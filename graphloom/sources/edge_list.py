@@ -130,9 +130,16 @@ def ranked(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     return placed.withColumn("_p", split).join(base, "_p").withColumn("position", F.col("_first") + within).drop("_p", "_first", "_at")
 
 
+def _exponential(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id %.5e`` as C prints it: exact ties go to the even digit, where Java's formatter rounds them up."""
+    for batch in batches:
+        lines = [f"{i} {r:.5e}" for i, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], ["id", "line"])
+
+
 def rank_lines(ranks: DataFrame) -> DataFrame:
     """(id, line): ``id rank``, the rank in the form 1.66667e-01."""
-    return ranks.select("id", F.concat_ws(" ", F.col("id").cast("string"), F.format_string("%.5e", "rank")).alias("line"))
+    return ranks.select("id", "rank").mapInArrow(_exponential, "id long, line string")
 
 
 def value_lines(values: DataFrame, value: str) -> DataFrame:
