@@ -221,7 +221,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
     """(a, b, jaccard, aligned) of the pairs that hold on their whole texts."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(_sized(wanted), "id", "left_semi").dropDuplicates(["id"])
+    # written, so that the joins stand alone: a hub in very many pairs can then be split between tasks
+    texts = written(texts.join(_sized(wanted), "id", "left_semi").dropDuplicates(["id"]), "candidates")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
