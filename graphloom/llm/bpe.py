@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .batches import small_batches
 
-#: Segments kept in a worker's cache; when full it is emptied, so memory is bounded.
+#: Entries of a generation of a worker's caches. A full generation becomes the old one and
+#: what the old one still answers moves on, so memory is bounded and frequent words stay.
 CACHE_WORDS = 150_000
 #: Segments handled at a time within one text.
 CHUNK = 50_000
@@ -51,8 +52,8 @@ class BytePairEncoder:
         self.longest = max(map(len, ranks), default=1)
         self.split = regex.compile(pattern).findall
         self.bytes_of = {str(i): b for b, i in ranks.items()}
-        self.words: dict[str, str] = _Cache(lambda w: ",".join(map(str, self.merge(w.encode("utf-8")))))
-        self.segments: dict[str, str] = _Cache(lambda s: ",".join([self.words[w] for w in self.split(s)]))
+        self.words = _Cache(lambda w: ",".join(map(str, self.merge(w.encode("utf-8")))))
+        self.segments = _Cache(lambda s: ",".join([self.words[w] for w in self.split(s)]))
 
     @classmethod
     def load(cls, path: str, pattern: str) -> BytePairEncoder:
@@ -125,9 +126,8 @@ class BytePairEncoder:
         for part in self._segments(text):
             if part:
                 yield ",".join([segments[s] for s in part])
-            for cache in (segments, self.words):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
+            segments.age()
+            self.words.age()
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for part in self.encode_joined(text) for i in part.split(",")]
@@ -137,16 +137,24 @@ class BytePairEncoder:
 
 
 class _Cache(dict):
-    """Results of a function, kept until the cache is cleared."""
+    """Results of a function, in two generations."""
 
     def __init__(self, make: Callable[[str], str]):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> str:
-        self[key] = made = self.make(key)
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        self[key] = made
         return made
 
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
 
 @lru_cache(maxsize=2)
 def encoder_at(path: str, pattern: str) -> BytePairEncoder:
