@@ -17,10 +17,12 @@ share is kept, so entries favour edits over rearrangement. With 16 entries of or
 3. Candidates whose shingle counts allow the similarity are checked on whole
    texts: Jaccard similarity of the shingle sets, then banded word alignment (the
    band closes as soon as too few words can still be aligned).
-4. A second round looks at buckets whose members aren't in one class yet, with a
-   hub from what the first left over. Classes are connected components.
+4. Classes are connected components. Texts of buckets that still hold several
+   classes are then joined exactly: two texts of the similarity share a shingle
+   among the rarest of each (prefix filter, with bounds by length and place). Only
+   pairs of different classes are made, and none that could be a link is left out.
 
-Only buckets of a text, sketches and pairs are shuffled, and the texts of candidates.
+Only buckets of a text, sketches, prefixes and pairs are shuffled, and the texts of candidates.
 
 Cases: null and empty texts have the same (no) words and form one class; copies and
 repeated rows share a class; a row without doc_id gets the class of its words (null
@@ -46,11 +48,12 @@ WORDS = 5
 SIMILARITY = 0.8
 HASHES = 16
 ORDER = 3
-ROUNDS = 2
 #: Words that a pair must keep in order, as a share of both texts.
 ALIGNED = 0.6
 #: Ids of candidate texts that may be broadcast (16 bytes each: at most 16 MB).
 BROADCAST_IDS = 1_000_000
+#: Counters that order shingles by how common they are; the order only decides the work, never the pairs that hold.
+_SLOT_BITS = 17
 _CACHE_WORDS = 100_000
 
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -217,6 +220,79 @@ def _hub_pairs(members: DataFrame, at_least: float) -> DataFrame:
     )
 
 
+def _slots(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def prefix(shingle: np.ndarray, common: np.ndarray, at_least: float) -> np.ndarray:
+    """The rarest of a text's different shingles, so many that a text of the similarity shares one of its own."""
+    n = len(shingle)
+    size = n - int(np.ceil(at_least * n - 1e-9)) + 1
+    return shingle[np.lexsort((shingle, common[_slots(shingle)]))[:size]]
+
+
+def _prefixes(texts: DataFrame, at_least: float) -> DataFrame:
+    """(token, id, component, n, place) of each text's prefix, rarest first by counts over all of ``texts``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _SLOT_BITS, np.int64)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                made = [np.unique(shingles(word_hashes(text))) for text in batch.column(2).to_pylist()]
+                total += np.bincount(_slots(np.concatenate([np.empty(0, np.uint64), *made])), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
+
+    # one row a counter, however many texts there are
+    counted = texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << _SLOT_BITS, np.int64)
+    common[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                made = [np.unique(shingles(word_hashes(text))) for text in batch.column(2).to_pylist()]
+                tokens = [prefix(x, common, at_least) for x in made]
+                each = np.repeat(np.arange(len(made)), [len(x) for x in tokens])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([np.empty(0, np.uint64), *tokens]).view(np.int64), pa.int64()),
+                        batch.column(0).take(pa.array(each)),
+                        batch.column(1).take(pa.array(each)),
+                        pa.array(np.array([len(x) for x in made], np.int32)[each], pa.int32()),
+                        pa.array(np.concatenate([np.empty(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in tokens)]), pa.int32()),
+                    ],
+                    ["token", "id", "component", "n", "place"],
+                )
+
+    return texts.mapInArrow(run, "token long, id long, component long, n int, place int")
+
+
+def _exact_pairs(known: DataFrame, docs: DataFrame, at_least: float) -> DataFrame | None:
+    """(a, b) with a < b, of different classes: all that can be links among texts of buckets with several classes."""
+    mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    left = written(known.join(mixed.select("key"), "key").select("id", "component").distinct(), "left")
+    if left.isEmpty():
+        return None
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    tokens = written(_prefixes(texts.join(_sized(left), "id").select("id", "component", "text"), at_least), "prefixes")
+    sizes = tokens.groupBy("token", "component").agg(F.count("*").alias("size"))
+    tops = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("classes"))
+    # written, so that the join below stands alone and a common token's rows can be split between tasks
+    every = written(tokens.join(tops.where("classes > 1").select("token", F.col("top.component").alias("top")), "token"), "tokens")
+    x = every.where("component <> top").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "place")))
+    y = every.select("token", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "place")))
+    # the first token that two texts share bounds what they share in all
+    shared = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    fits = (F.least("x_n", "y_n") >= at_least * F.greatest("x_n", "y_n") - 1e-9) & (shared >= at_least / (1 + at_least) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    return (
+        x.join(y, "token")
+        .where((F.col("x_component") != F.col("y_component")) & fits)
+        .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+        .distinct()
+    )
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
     """(a, b, jaccard, aligned) of the pairs that hold on their whole texts."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -239,7 +315,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, jaccard double, aligned double")
 
 
-def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES, order: int = ORDER, rounds: int = ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES, order: int = ORDER) -> DataFrame:
     """(doc_id, class_id) of each row: the smallest doc_id of its class of near duplicates."""
     small_batches(docs.sparkSession)
     made = written(sketches(docs, hashes, order), "sketches")
@@ -248,19 +324,14 @@ def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES,
     members = written(_buckets(texts.where("id is not null")), "buckets")
     pairs = written(_hub_pairs(members, at_least), "pairs")
     links = written(_verified(pairs, docs, at_least), "links")
-    tried, found = pairs, weak_components(links, "a", "b")
-    for _ in range(rounds - 1):
-        known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        seen = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-        # the class that most of a bucket's texts are in stays whole; what else is there looks for links anew
-        sizes = known.join(seen.select("key"), "key").groupBy("key", "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top")).select("key", F.col("top.component").alias("top"))
-        rest = known.join(largest, "key").where("component <> top").select("key", "id", "n_shingles", "n")
-        more = written(_hub_pairs(rest, at_least).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        links = written(_verified(more, docs, at_least).union(links), "links")
-        tried, found = tried.union(more), weak_components(links, "a", "b")
+    found = weak_components(links, "a", "b")
+    known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = _exact_pairs(known, docs, at_least)
+    if more is not None:
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = written(_verified(more, docs, at_least).union(links), "links")
+            found = weak_components(links, "a", "b")
     whole = made.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key", "left")
     return whole.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))
 

@@ -54,6 +54,48 @@ def test_classes_match_brute_force(docs, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(k) for k in range(len(texts))})
 
 
+def test_classes_of_drifting_groups_equal_an_exact_join(docs, prose):
+    rng = random.Random(21)
+    texts = []
+    for k in range(4):
+        group = [prose(120, 700 + k).split()]
+        while len(group) < 60:  # copies of copies, many too far from any hub
+            copy = list(rng.choice(group))
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = "edit" + str(rng.randrange(100000))
+            group.append(copy)
+        texts += [" ".join(g) for g in rng.sample(group, 40)]
+    passage = prose(90, 71)
+    for k in range(6):  # several clusters in the buckets of one shared passage
+        base = passage + " " + prose(60, 800 + k)
+        texts += [base + " " + " ".join(f"end{k}{e}{w}" for w in range(3)) for e in range(3)]
+    grams = [frozenset(neardup.shingles(neardup.word_hashes(t)).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(texts)).collect()}
+    assert found == {k: root(k) for k in range(len(texts))}
+
+
+def test_prefixes_of_similar_texts_meet():
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 9, 1 << neardup._SLOT_BITS)
+    for n in range(1, 80):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: -max(1, n // 9)], rng.integers(0, 2**63, n // 9, dtype=np.uint64)]))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(neardup.prefix(a, common, 0.8), neardup.prefix(b, common, 0.8)))
+
+
 def test_classes_of_odd_rows(docs):
     assert neardup.classes(docs([])).count() == 0
     text = "a b c d e f g h i j"
