@@ -3,10 +3,13 @@
 A vector's bucket in a table is the signed axis nearest to its pseudo-rotation
 (three rounds of random signs and a fast Hadamard transform). Inner product
 becomes angle by one more coordinate: data vectors are scaled by the largest
-norm M and completed to unit length, queries get a zero there; for vectors of one
-length that changes nothing. The index holds every vector once a table; a query
-probes, in every table, the ``probes`` axes nearest to its own rotation. Found
-candidates are reranked by the exact inner product in double precision.
+norm of their band and completed to unit length, queries get a zero there; for
+vectors of one length that changes nothing. A band holds norms within a factor of
+``_BAND`` and has its own buckets, so that an outlier's norm doesn't turn all others
+towards the added coordinate. The index holds every vector once a table; a query
+probes, in every band and table, the ``probes`` axes nearest to its own rotation.
+Found candidates are reranked by the exact inner product in double precision.
+A query whose probes find fewer than ``k`` is scored against all vectors of its length.
 
 Work is cut into blocks of a (table, bucket): ``block`` bounds the vectors and the
 queries that meet in a task, so a bucket holding a third of all vectors is just
@@ -20,7 +23,7 @@ Fewer probes buy speed on clustered data.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no
 part, neither as query nor as candidate; vectors only meet vectors of their own
-length; a query with fewer candidates than k gets all that its probes find;
+length; a query with fewer candidates than k gets all of them;
 rows that repeat a vec_id are candidates once per distinct score; a table without
 usable vectors gives no rows; unknown columns are ignored.
 """
@@ -36,11 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
+
 TABLES = 8
 PROBES = 32
 #: Least number of rows of a block's side; blocks grow with the table so that their number doesn't.
 BLOCK = 256
 _SLICE = 256
+#: Ratio of the norms of a band; bands are counted from the largest norm of a length of vector.
+_BAND = 2**0.5
 #: Rounding of fast products: what lies this close to a query's k-th best is scored exactly.
 _NEAR = 1e-9
 
@@ -105,32 +112,53 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     )
 
 
-def _buckets(rows: DataFrame, norms: dict[int, float], tables: int, probes: int, query: bool) -> DataFrame:
-    """(dim, hash table, bucket, id, v) of each vector and table (and probe)."""
+def band_of(norm2: np.ndarray, largest: float) -> np.ndarray:
+    """Which band a squared norm is in: 0 holds the largest norm of its length of vector."""
+    return np.maximum(0, np.floor((np.log2(largest) - 0.5 * np.log2(norm2)) / np.log2(_BAND) + 1e-6)).astype(np.int32)
+
+
+def _banded(base: DataFrame, norms: dict[int, float]) -> DataFrame:
+    """``base`` with the band of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            dims, norm2 = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
+            band = np.zeros(len(dims), np.int32)
             for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
+                at = dims == dim
+                band[at] = band_of(norm2[at], norms[int(dim)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band, pa.int32())], ["id", "v", "dim", "norm2", "band"])
+
+    return base.select("id", "v", "dim", "norm2").mapInArrow(run, "id long, v array<double>, dim int, norm2 double, band int")
+
+
+def _buckets(rows: DataFrame, norms: dict[tuple[int, int], float], tables: int, probes: int, query: bool) -> DataFrame:
+    """(dim, band, hash table, bucket, id, v) of each vector and table (and probe); queries have one band for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, dims, bands = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
+            for dim, band in np.unique(np.stack([dims, bands], axis=1), axis=0).tolist():
+                at = np.flatnonzero((dims == dim) & (bands == band))
                 part = batch.column(1).take(pa.array(at))
                 x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
-                unit = _completed(x, norms[int(dim)], query)
+                unit = _completed(x, norms.get((dim, band), 1.0), query)
                 for table in range(tables):
                     found = axes(unit, table, probes)
                     each = np.repeat(np.arange(len(at)), found.shape[1])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(each), dim), pa.int32()),
+                            pa.array(np.full(len(each), band), pa.int32()),
                             pa.array(np.full(len(each), table), pa.int32()),
                             pa.array(found.ravel(), pa.int32()),
                             pa.array(ids[at][each], pa.int64()),
                             part.take(pa.array(each)),
                         ],
-                        ["dim", "hash_table", "bucket", "id", "v"],
+                        ["dim", "band", "hash_table", "bucket", "id", "v"],
                     )
 
-    return rows.select("id", "v", "dim").mapInArrow(run, "dim int, hash_table int, bucket int, id long, v array<double>")
+    return rows.select("id", "v", "dim", "band").mapInArrow(run, "dim int, band int, hash_table int, bucket int, id long, v array<double>")
 
 
 def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
@@ -167,39 +195,60 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` among ``vectors``."""
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
     base, asked = usable(vectors, key, vector), usable(queries, key, vector)
     # one row a length of vector
     norms = {r["dim"]: float(r["m"]) ** 0.5 for r in base.groupBy("dim").agg(F.max("norm2").alias("m")).collect()}
-    place = ["dim", "hash_table", "bucket"]
-    if norms:
-        index = _buckets(base, norms, tables, 1, query=False)
-        probed = _buckets(asked.where(F.col("dim").isin(list(norms))), norms, tables, probes, query=True)
-        # at most tables * 2 * padded(dim) rows a length: sizes of buckets, never rows
-        counts = index.groupBy(*place).agg(F.count("*").alias("n")).collect()
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        size = max(block, -(-sum(c["n"] for c in counts) // (4 * parts)))
-        slots = {(c["dim"], c["hash_table"], c["bucket"]): -(-c["n"] // size) for c in counts}
-        layout = spark.createDataFrame([(*p, n) for p, n in slots.items()], "dim int, hash_table int, bucket int, slots int")
-        asked_counts = probed.groupBy(*place).agg(F.count("*").alias("n"))
-        layout = layout.join(asked_counts, place).select(*place, "slots", F.ceil(F.col("n") / size).cast("int").alias("rows"))
-        layout = F.broadcast(spark.createDataFrame(layout.collect(), layout.schema))
-        stored = index.join(layout, place).select(
-            *place, "id", "v", F.pmod(F.xxhash64("id"), F.col("slots")).alias("slot"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")
-        )
-        sought = probed.join(layout, place).select(
-            *place, "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots").cast("long") - 1)).alias("slot"), F.pmod(F.xxhash64("id"), F.col("rows")).cast("int").alias("row")
-        )
-
-        def meet(q: Iterator[pd.DataFrame] | pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(v):
-                return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-            return pd.concat(list(_best(q, v, k)))
-
-        cell = [*place, "slot", "row"]
-        found = sought.groupBy(*cell).cogroup(stored.groupBy(*cell)).applyInPandas(meet, schema)
-    else:
-        found = spark.createDataFrame([], schema)
-    # a pair met in several tables has one score, so its rows share one dense rank
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.dense_rank().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
+    if not norms:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = asked.where(F.col("dim").isin(list(norms)))
+    banded = _banded(base, norms)
+    # one row a band of norms
+    largest = {(r["dim"], r["band"]): float(r["m"]) ** 0.5 for r in banded.groupBy("dim", "band").agg(F.max("norm2").alias("m")).collect()}
+    index = _buckets(banded, largest, tables, 1, query=False)
+    probed = _buckets(asked.withColumn("band", F.lit(0)), {}, tables, probes, query=True).drop("band")
+    found = _ranked(_meeting(index, probed, ["dim", "hash_table", "bucket"], ["band"], k, block), k)
+    found = written(found, "neighbours")
+    # probes may see fewer than k where there are more: such queries meet all vectors of their length
+    full = found.groupBy("query_id", "dim").agg(F.count("*").alias("found")).where(F.col("found") >= k)
+    short = asked.join(full.select(F.col("query_id").alias("id"), "dim"), ["id", "dim"], "left_anti").select("id", "v", "dim")
+    short = written(short, "short")
+    if not short.isEmpty():
+        found = found.drop("rank").union(_meeting(base.select("dim", "id", "v"), short, ["dim"], [], k, block))
+    return _ranked(found.drop("dim", "rank"), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query (and length of vector); a pair met in several cells has one score, so its rows share one dense rank."""
+    of = [c for c in ("query_id", "dim") if c in found.columns]
+    best = Window.partitionBy(*of).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k).distinct()
+
+
+def _meeting(index: DataFrame, probed: DataFrame, place: list[str], more: list[str], k: int, block: int) -> DataFrame:
+    """(query_id, dim, vec_id, score): the k best of each query in each block of a place; ``more`` parts only the index."""
+    spark = index.sparkSession
+    # as many rows as places: sizes of buckets, never rows
+    counts = index.groupBy(*place, *more).agg(F.count("*").alias("n")).collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(block, -(-sum(c["n"] for c in counts) // (4 * parts)))
+    names = ", ".join(f"{c} int" for c in place + more)
+    slots = spark.createDataFrame([(*(c[p] for p in place + more), -(-c["n"] // size)) for c in counts], f"{names}, slots int")
+    asked = probed.groupBy(*place).agg(F.count("*").alias("n"))
+    layout = slots.join(asked, place).select(*place, *more, "slots", F.ceil(F.col("n") / size).cast("int").alias("rows"))
+    layout = F.broadcast(spark.createDataFrame(layout.collect(), layout.schema))
+    cell = [*place, *more, "slot", "row"]
+    stored = index.join(layout, place + more).select(
+        *place, *more, "id", "v", F.pmod(F.xxhash64("id"), F.col("slots").cast("long")).alias("slot"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")
+    )
+    sought = probed.join(layout, place).select(
+        *place, *more, "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots").cast("long") - 1)).alias("slot"), F.pmod(F.xxhash64("id"), F.col("rows")).cast("int").alias("row")
+    )
+
+    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "dim": pd.Series(dtype="int32"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        out = pd.concat(list(_best(q, v, k)))
+        out.insert(1, "dim", q["dim"].iloc[0])
+        return out
+
+    return sought.groupBy(*cell).cogroup(stored.groupBy(*cell)).applyInPandas(meet, "query_id long, dim int, vec_id long, score double")

@@ -229,6 +229,30 @@ def test_neighbours(spark):
     assert neighbours.search(few, table.where("vec_id = 0"), probes=64).count() == 4
 
 
+def test_neighbours_of_short_tables_and_outlying_norms(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((21, 100))
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.search(few, few).groupBy("query_id").count().collect()
+    assert sorted((r["query_id"], r["count"]) for r in found) == [(i, 20) for i in range(21)]
+    # one very long vector leaves the others' buckets as they are
+    x = rng.standard_normal((1500, 100))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    norm2 = (np.vstack([x, 1e6 * x[:1]]) ** 2).sum(axis=1)
+    bands = neighbours.band_of(norm2, float(norm2.max()) ** 0.5)
+    assert bands[-1] == 0 and bands[:-1].min() > 0
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, 1e6 * x[0]])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(table, table.where("vec_id between 1 and 40")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(1, 41):
+        score = np.append(x @ x[q], 1e6 * x[0] @ x[q])
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 40
+
+
 # --- URL rules
 
 def test_url_parts(spark):
