@@ -4,12 +4,12 @@
    fixed-size vectors.
 2. A randomised SVD of TF-IDF passages: two rounds of ``A'(A Q)``, the passages
    spread over tasks and the products summed as a tree, then a small eigenproblem. The
-   basis is fitted to the benchmark's items and the passages of at most ``max_fit``
-   documents (the lowest by a hash of doc_id); everything else covers all rows.
+   basis is fitted to the benchmark's items and all passages of all documents; a task
+   hands on terms x rank numbers, whatever it reads.
 3. Every document is cut into blocks of eight words; sums of 2, 4, 8, ... blocks are
-   passages of 16, 32, 64, ... words, each half a passage after the last. An item is
-   compared with all passages of the width nearest to its length; a cosine in the
-   latent space of at least ``near`` makes a candidate.
+   passages of 16, 32, 64, ... words (and blocks are passages of eight), each half a
+   passage after the last. An item is compared with all passages of the next smaller and
+   the next larger width; a cosine in the latent space of at least ``near`` makes a candidate.
 4. A candidate counts if the longest common subsequence of the item's words and a
    stretch little longer than the item covers ``overlap`` of the item, and, for items
    that state an answer (after a last question mark or ``answer:``), if the answer's
@@ -35,15 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import written
 from .batches import small_batches
 
 TERM_BITS = 13
 TERMS = 1 << TERM_BITS
 RANK = 128
-MAX_FIT = 1_000
 NEAR = 0.4
-#: Tasks that the fit's sample is spread over.
+#: Least number of tasks of the fit; there is one a core where there are more, so that few products are summed.
 _FIT_TASKS = 8
 OVERLAP = 0.7
 ITEM_BLOCK = 5_000
@@ -172,54 +170,60 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return (np.zeros(TERMS, np.int64), 0) if total is None else (total[:TERMS], int(total[TERMS]))
 
 
-def _gram(ids: np.ndarray, idf: np.ndarray, q: np.ndarray, out: np.ndarray, length: int) -> None:
-    """Adds A'(A q) to ``out`` for the unit TF-IDF passages of ``length`` words in a run of term ids."""
-    for start in range(0, len(ids), length * _ROWS):
-        part = ids[start : start + length * _ROWS]
-        row = np.arange(len(part)) // length
-        cells, counts = np.unique(row * TERMS + part, return_counts=True)
-        row, term = cells // TERMS, cells % TERMS
-        weight = counts * idf[term]
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        norm = np.sqrt(np.add.reduceat(weight**2, starts))
-        weight = weight / np.maximum(norm, 1e-12)[row]
-        projected = np.add.reduceat(weight[:, None] * q[term], starts)
-        back = weight[:, None] * projected[row]
-        order = np.argsort(term, kind="stable")
-        term, back = term[order], back[order]
-        firsts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-        out[term[firsts]] += np.add.reduceat(back, firsts)
+def _gram(row: np.ndarray, ids: np.ndarray, idf: np.ndarray, q: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'(A q) to ``out`` for unit TF-IDF passages; ``row`` says which passage each term id is in."""
+    cells, counts = np.unique(row * TERMS + ids, return_counts=True)
+    row, term = cells // TERMS, cells % TERMS
+    weight = counts * idf[term]
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    passage = np.cumsum(np.r_[False, row[1:] != row[:-1]])
+    norm = np.sqrt(np.add.reduceat(weight**2, starts))
+    weight = (weight / np.maximum(norm, 1e-12)[passage]).astype(q.dtype)[:, None]
+    projected = np.add.reduceat(weight * q[term], starts)
+    order = np.argsort(term, kind="stable")
+    term, back = term[order], weight[order] * projected[passage[order]]
+    firsts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    out[term[firsts]] += np.add.reduceat(back, firsts)
 
 
 def _orthonormal(x: np.ndarray) -> np.ndarray:
     return np.linalg.qr(x)[0]
 
 
-def latent_basis(docs: DataFrame, items: list[str], idf: np.ndarray, rank: int = RANK, max_fit: int = MAX_FIT) -> np.ndarray:
+def latent_basis(docs: DataFrame, items: list[str], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Whitened right singular vectors (terms x rank) of the TF-IDF passages, by a distributed randomised SVD.
 
     Each is divided by its eigenvalue: what all passages share stops drowning
     what tells them apart, so that cosines of unrelated passages lie near zero.
     """
-    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-    # at most max_fit ids of 8 bytes
-    sample = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"))
-    sample = written(sample.repartition(_FIT_TASKS, F.xxhash64("text")), "passages")
+    tasks = max(_FIT_TASKS, docs.sparkSession.sparkContext.defaultParallelism)
+    rows = docs.select(F.col("text").cast("string").alias("text")).coalesce(tasks)
 
     def product(q: np.ndarray) -> np.ndarray:
+        single = q.astype(np.float32)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros_like(q)
+            out = np.zeros(single.shape)
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    if len(ids := term_ids(text)):
-                        _gram(ids, idf, q, out, _FIT_WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["v"])
-
-        total = _tree_sum(sample.mapInArrow(run, "v binary"), np.float64)
-        total = np.zeros_like(q) if total is None else total.reshape(q.shape).copy()
+                for group in together(batch.column(0).to_pylist()):
+                    words, text_of = Words.of_many(group)
+                    if not len(words):
+                        continue
+                    counts = np.bincount(text_of, minlength=len(group))
+                    passages = -(-counts // _FIT_WORDS)
+                    at = np.arange(len(words)) - (np.cumsum(counts) - counts)[text_of]
+                    row = (np.cumsum(passages) - passages)[text_of] + at // _FIT_WORDS
+                    # passages of a long text in parts
+                    for first in range(0, int(row[-1]) + 1, _ROWS):
+                        mine = slice(*np.searchsorted(row, [first, first + _ROWS]))
+                        _gram(row[mine], words.terms[mine], idf, single, out)
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["v"])
+
+        total = _tree_sum(rows.mapInArrow(run, "v binary"), np.float32)
+        total = np.zeros_like(q) if total is None else total.reshape(q.shape).astype(np.float64)
         for item in items:
             if len(ids := term_ids(item)):
-                _gram(ids, idf, q, total, len(ids))
+                _gram(np.zeros(len(ids), np.int64), ids, idf, q, total)
         return total
 
     q = _orthonormal(np.random.default_rng(11).standard_normal((len(idf), rank + 8)))
@@ -274,11 +278,12 @@ class Detector:
         self.terms = np.vstack([terms, np.zeros((1, terms.shape[1]))]).astype(np.float32)
         self.bits = [_bits(list(i.words)) for i in self.items]
         self.tables: dict[int, np.ndarray] = {}
-        # an item is sought at the width (in blocks) nearest to its length
+        # an item is sought at both widths (in blocks) next to its length: a narrow passage holds few
+        # foreign words, a wide one most of the item
         self.spans: list[tuple[int, np.ndarray, np.ndarray]] = []
-        widths = np.array([max(1, round(math.log2(max(1, len(i.words)) / BLOCK))) for i in self.items], int)
-        for width in sorted(set(widths.tolist())):
-            mine = np.flatnonzero(widths == width)
+        widths = np.array([max(0, math.floor(math.log2(len(i.words) / BLOCK))) for i in self.items], int)
+        for width in sorted({w + more for w in widths.tolist() for more in (0, 1)}):
+            mine = np.flatnonzero((widths == width) | (widths + 1 == width))
             self.spans.append((1 << width, mine, self._unit(np.stack([self.terms[self.items[k].terms].sum(axis=0) for k in mine])).T.copy()))
 
     @staticmethod
@@ -364,7 +369,7 @@ class Detector:
         return common_subsequence(_bits(list(item.answer)), len(item.answer), region) >= 0.5 * len(item.answer)
 
 
-def detectors(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap: float = OVERLAP, rank: int = RANK, max_fit: int = MAX_FIT, item_block: int = ITEM_BLOCK) -> Iterator[Detector]:
+def detectors(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap: float = OVERLAP, rank: int = RANK, item_block: int = ITEM_BLOCK) -> Iterator[Detector]:
     """A detector for each block of at most ``item_block`` benchmark items (read block by block)."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     count = rows.count()
@@ -377,7 +382,7 @@ def detectors(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap
     for block in range(blocks):
         # hashing deals items out; a block holds item_block of them on average
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        basis = latent_basis(docs, [r["text"] for r in mine], idf, rank, max_fit)
+        basis = latent_basis(docs, [r["text"] for r in mine], idf, rank)
         yield Detector([Item.of(r["item_id"], r["text"]) for r in mine], idf[:, None] * basis, near, overlap)
 
 

@@ -136,6 +136,51 @@ def test_decontamination(docs, prose, benchmark):
     assert kept.columns == docs(rows).columns
 
 
+def test_decontamination_of_reworded_and_short_items(docs, prose, spark):
+    rng = random.Random(9)
+    texts = [prose(n, 9000 + k) for k, n in enumerate([46] * 12 + [8, 9, 10, 12] * 3)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows, planted = [], set()
+    for k in range(240):
+        item = k % len(texts)
+        said = texts[item].split()
+        for at in rng.sample(range(len(said)), int(0.28 * len(said))):
+            said[at] = "other" + str(rng.randrange(1000))
+        words = prose(200, 20000 + k).split()
+        at = rng.randrange(150)
+        words[at:at] = said
+        rows.append(" ".join(words))
+        planted.add((k, item))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(rows), items).collect()}
+    held = {  # exhaustive: every stretch a quarter longer than the item
+        (k, i)
+        for k, row in enumerate(rows)
+        for i, text in enumerate(texts)
+        if (k, i) in planted
+        or (len(set(text.split()) & set(row.split())) >= 0.7 * len(set(text.split())) and _held(text.lower().split(), row.lower().split()))
+    }
+    print("recall", len(found & held) / len(held))
+    assert found <= held
+    assert len(found & held) >= 0.95 * len(held)
+
+
+def _held(item, words):
+    bits, width = decontaminate._bits(item), len(item) + max(4, len(item) // 4)
+    return any(decontaminate.common_subsequence(bits, len(item), words[s : s + width]) >= 0.7 * len(item) for s in range(len(words)))
+
+
+def test_basis_covers_all_documents(docs, prose):
+    texts = [prose(30, 40000 + k) for k in range(1500)]
+    idf = np.ones(decontaminate.TERMS)
+    rows = np.zeros((len(texts), decontaminate.TERMS))
+    for k, text in enumerate(texts):
+        np.add.at(rows[k], decontaminate.term_ids(text), 1.0)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    basis = decontaminate.latent_basis(docs(texts), [], idf)
+    # a column's length is one over its eigenvalue
+    assert 1 / np.linalg.norm(basis[:, 0]) == pytest.approx(np.linalg.eigvalsh(rows @ rows.T)[-1], rel=0.02)
+
+
 def test_decontamination_of_nothing(docs, benchmark):
     items, _ = benchmark
     assert decontaminate.contaminated(docs([]), items).count() == 0
