@@ -113,7 +113,9 @@ _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 _DIGIT = rf"(?:(?:{_WORDS})\b|[0-9])"
 #: At least seven digits, one of them spelled, with an optional spelled plus.
 _SPELLED_RUN = re.compile(rf"(?:\bplus[ -]+|\+ ?)?\b{_DIGIT}(?:(?:[ ,.()-]{{0,3}}|[ ]+(?:dot|point)[ ]+){_DIGIT}){{3,}}", re.I)
-_ANY_SPELLED = re.compile(rf"\b(?:{_WORDS})[ ,.()-]{{1,3}}(?:(?:dot|point) )?(?:{_WORDS}|[0-9])\b", re.I)
+#: Every run that a spelled digit could be in has one beside another digit, on one side or the other.
+_GAP = r"(?:[ ,.()-]{0,3}|[ ]+(?:dot|point)[ ]+)"
+_ANY_SPELLED = re.compile(rf"(?:{_WORDS})\b{_GAP}(?:(?:{_WORDS})\b|[0-9])|[0-9]{_GAP}(?:{_WORDS})\b", re.I)
 _SPELLED_WORD = re.compile(rf"\b(?:{_WORDS})\b|\b(?:plus|dot|point)\b[ ]*", re.I)
 _AT = r"(?:[ ]?[\[({<][ ]?(?:at|@|à|arroba)[ ]?[\])}>][ ]?|[ ]+(?:at|AT|arroba)[ ]+|[ ]+@[ ]*|@[ ]+)"
 _DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[\])}>][ ]?|[ ]+(?:dot|DOT|punkt|punto)[ ]+|\.)"
@@ -122,7 +124,11 @@ _DISGUISED = re.compile(
     rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,5}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])",
     re.I,
 )
-_ANY_DISGUISE = re.compile(r"[\[({<][ ]?(?:at|@|dot|à|arroba|punkt|point|punto|\.)[ ]?[\])}>]|[ ](?:dot|punkt|punto)[ ]|[ ]@|@[ ]", re.I)
+_ANY_DISGUISE = re.compile(
+    r"[\[({<][ ]?(?:at|@|dot|à|arroba|punkt|point|punto|\.)[ ]?[\])}>]|[ ](?:dot|punkt|punto)[ ]|[ ]@|@[ ]"
+    rf"|[ ](?:at|arroba)[ ]+[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9-]",
+    re.I,
+)
 _DOTTED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_PART = re.compile(_AT, re.I)
 _DOT_PART = re.compile(_DOT, re.I)

@@ -115,6 +115,16 @@ def test_pii_leaves_prose_alone(text):
     assert pii.joined(pii.find(text)[1]) == ""
 
 
+@pytest.mark.parametrize(
+    "text", ["write john at example.com now", "or x arroba host.com", "call +one 555 123 4567", "call +1 555 123 456 seven", "call +1 555 one23 4567 now"]
+)
+def test_pii_marks_cover_what_is_rewritten(text, monkeypatch):
+    gated = pii.find(text)
+    monkeypatch.setattr(pii, "_stretches", lambda whole: [(0, len(whole))])
+    assert gated == pii.find(text)
+    assert gated[0] != gated[1] or "one23" in text
+
+
 def test_pii_rows(docs):
     texts = [*ODD, "x@y.zz and 1.2.3.4", "9" * 20_000, "a" * 50_000, "0" * 5000 + "1.2.3.4"]
     found = rows(pii.digests(docs(texts)))
