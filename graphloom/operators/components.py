@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..lineage import cut
+from ..lineage import Rounds
 from ..plans.direction import Direction
 from ..plans.superstep import Result, VertexProgram, run
 
@@ -35,13 +35,6 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def _settled(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The links in shared storage, with their number and an order-free digest."""
-    links = cut(links.distinct())
-    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return links, tuple(links.agg(F.count("*"), digest).first())
-
-
 def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(id, component): for every id on an edge the smallest id it is connected to.
 
@@ -49,16 +42,20 @@ def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     """
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = links.where("u = v").select(F.col("u").alias("id")).distinct()
-    links, seen = _settled(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        links, now = _settled(_small_star(_large_star(links)))
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # their number and an order-free digest tell if a round has changed the links
+    numbers = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
+    with Rounds(edges.sparkSession, "links") as rounds:
+        links, seen = rounds.store(links.distinct(), *numbers)
+        for _ in range(max_rounds):
+            if not seen["n"]:
+                break
+            links, now = rounds.store(_small_star(_large_star(links)).distinct(), *numbers)
+            if now == seen:
+                break
+            seen = now
+        else:
+            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     stars = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     found = stars.union(roots)

@@ -12,11 +12,11 @@ off the state when that is written: no second pass over edges, no scalar join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, divisor
-from ..lineage import cut
+from ..lineage import Rounds, stored_edges
 
 DAMPING = 0.875
 
@@ -34,6 +34,17 @@ def gather(edges: DataFrame, state: DataFrame) -> DataFrame:
     return edges.join(senders, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("prop").alias("acc"))
 
 
+def scatter(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, acc): each source sends its message along its own edges, one row a source and destination, and sums meet there.
+
+    Edges are grouped by source first (a source's repeated edges to a destination become one
+    message with a multiplicity), where gathering joins every edge with its source's message.
+    """
+    senders = state.where("outdeg > 0").select(F.col("id").alias("src"), "prop")
+    sent = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(senders, "src")
+    return sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("prop") * F.col("times")).alias("acc"))
+
+
 def apply(state: DataFrame, acc: DataFrame, gathered: float, n: int, damping: float = DAMPING, redistribute: bool = True) -> DataFrame:
     """The vertex phase: state after an iteration that gathered ``acc`` (in sum ``gathered``)."""
     lost = (1.0 - gathered) / n if redistribute else 0.0
@@ -41,12 +52,11 @@ def apply(state: DataFrame, acc: DataFrame, gathered: float, n: int, damping: fl
     return state.join(acc, "id", "left").select("id", "outdeg", (rank / divisor(F.col("outdeg"), n)).alias("prop"))
 
 
-def _stored(state: DataFrame) -> tuple[DataFrame, float]:
+def _stored(rounds: Rounds, state: DataFrame) -> tuple[DataFrame, float]:
     """State in shared storage, and the rank on vertices with out-edges (what the next gathering will collect); one job."""
-    seen = Observation()
     kept = F.sum(F.when(F.col("outdeg") > 0, F.col("prop") * F.col("outdeg")))
-    state = cut(state.observe(seen, F.coalesce(kept, F.lit(0.0)).alias("gathered")))
-    return state, float(seen.get["gathered"])
+    state, seen = rounds.store(state, F.coalesce(kept, F.lit(0.0)).alias("gathered"))
+    return state, float(seen["gathered"])
 
 
 def pagerank(
@@ -61,8 +71,8 @@ def pagerank(
     """(id, rank) after a fixed number of iterations.
 
     ``redistribute=False`` lets sinks lose their rank. Without its edge phase an iteration gathers
-    nothing (every rank becomes 1/V); without its vertex phase state stays. ``engine`` is
-    accepted for either direction: both are the same join and reduction here.
+    nothing (every rank becomes 1/V); without its vertex phase messages are gathered and state stays.
+    ``engine="push"`` scatters: see :func:`scatter`.
     """
     if iterations < 1:
         raise ValueError("at least one iteration")
@@ -70,16 +80,20 @@ def pagerank(
         raise ValueError(f"no such engine: {engine}")
     n = graph.n_vertices
     state = initial(graph)
-    if vertex_phase and n:
-        # derived once; the join by source stays adaptive, so that a hub's edges can be split
-        edges = cut(graph.edges)
-        state, gathered = _stored(initial(Graph(graph.vertices, edges)))
-        for _ in range(iterations):
-            if edge_phase:
-                acc = gather(edges, state)
-            else:
-                gathered, acc = 0.0, state.limit(0).select("id", F.col("prop").alias("acc"))
-            state, gathered = _stored(apply(state, acc, gathered, n, damping, redistribute))
+    if n:
+        phase = scatter if engine == "push" else gather
+        with stored_edges(graph) as edges, Rounds(graph.edges.sparkSession, "ranks") as rounds:
+            state, gathered = _stored(rounds, initial(Graph(graph.vertices, edges)))
+            for _ in range(iterations):
+                if not edge_phase:
+                    gathered, acc = 0.0, state.limit(0).select("id", F.col("prop").alias("acc"))
+                else:
+                    acc = phase(edges, state)
+                if vertex_phase:
+                    state, gathered = _stored(rounds, apply(state, acc, gathered, n, damping, redistribute))
+                elif edge_phase:
+                    # the edge phase by itself: its sums are formed and go nowhere
+                    acc.write.format("noop").mode("overwrite").save()
     return state.select("id", (F.col("prop") * divisor(F.col("outdeg"), n)).alias("rank"))
 
 

@@ -62,3 +62,4 @@ class Iteration:
     vote: int
     vectors: int | None = None
     edges: int | None = None
+    ms: int = 0

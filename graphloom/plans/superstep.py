@@ -7,14 +7,15 @@ by. State never reaches the driver.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..lineage import cut
+from ..lineage import Rounds, release, stored_edges
 from .direction import Direction, Iteration, near
 
 
@@ -44,6 +45,20 @@ class Result:
 
     state: DataFrame
     iterations: list[Iteration]
+    n_vertices: int = 0
+    n_edges: int = 0
+    paths: tuple[str, ...] = ()
+
+    def release(self) -> None:
+        """Delete the state of the run (as a context manager does at its end)."""
+        for path in self.paths:
+            release(self.state.sparkSession, path)
+
+    def __enter__(self) -> Result:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
     def profile(self) -> DataFrame:
         rows = [(i.iteration, i.engine.capitalize(), i.vote_before, i.n_active, i.n_changed, i.vote) for i in self.iterations]
@@ -89,36 +104,39 @@ def advance(state: DataFrame, msgs: DataFrame, program: VertexProgram, iteration
     )
 
 
-def _stored(state: DataFrame, weight: Column) -> tuple[DataFrame, int, int]:
+def _stored(rounds: Rounds, state: DataFrame, weight: Column) -> tuple[DataFrame, int, int]:
     """State in shared storage, how many vertices are active, and the sum of their weights; one job."""
-    seen = Observation()
     active = F.col("active")
-    counted = state.observe(seen, F.count_if(active).alias("n"), F.coalesce(F.sum(F.when(active, weight)), F.lit(0)).alias("vote"))
-    state = cut(counted)
-    return state, int(seen.get["n"]), int(seen.get["vote"])
+    state, seen = rounds.store(state, F.count_if(active).alias("n"), F.coalesce(F.sum(F.when(active, weight)), F.lit(0)).alias("vote"))
+    return state, int(seen["n"]), int(seen["vote"])
 
 
 def run(graph: Graph, program: VertexProgram, direction: Direction | None = None, max_iterations: int = 10_000, stats: bool = False) -> Result:
-    """Supersteps until the vote is zero (the superstep that finds nothing counts too)."""
+    """Supersteps until the vote is zero (the superstep that finds nothing counts too).
+
+    State that a later superstep has replaced, and the stored edges, are deleted; the last state stays.
+    """
     direction = direction or Direction()
-    # derived once; the join by source stays adaptive, so that a hub's edges can be split
-    edges = cut(graph.edges)
-    n, m = graph.n_vertices, edges.count()
-    state, n_active, degrees = _stored(start(Graph(graph.vertices, edges), program), F.col("outdeg"))
-    vote = direction.first_vote(n_active, degrees)
+    spark = graph.edges.sparkSession
     done: list[Iteration] = []
-    for iteration in range(1, max_iterations + 1):
-        engine = direction.choose(vote, n, m)
-        vectors, touched = packing_touched(edges, state, engine) if stats else (None, None)
-        after = advance(state, messages(edges, state, program, engine, n_active), program, iteration)
-        state, changed, now = _stored(after, direction.vote(F.col("outdeg")))
-        done.append(Iteration(iteration, engine, vote, n_active, changed, now, vectors, touched))
-        n_active, vote = changed, now
-        if not vote:
-            break
-    else:
-        raise RuntimeError(f"not done after {max_iterations} iterations")
-    return Result(state.select("id", "value", "changed_at"), done)
+    with stored_edges(graph) as edges, Rounds(spark, "state") as rounds:
+        n, m = graph.n_vertices, edges.count()
+        state, n_active, degrees = _stored(rounds, start(Graph(graph.vertices, edges), program), F.col("outdeg"))
+        vote = direction.first_vote(n_active, degrees)
+        for iteration in range(1, max_iterations + 1):
+            began = time.perf_counter()
+            engine = direction.choose(vote, n, m)
+            vectors, touched = packing_touched(edges, state, engine) if stats else (None, None)
+            after = advance(state, messages(edges, state, program, engine, n_active), program, iteration)
+            state, changed, now = _stored(rounds, after, direction.vote(F.col("outdeg")))
+            ms = round(1000 * (time.perf_counter() - began))
+            done.append(Iteration(iteration, engine, vote, n_active, changed, now, vectors, touched, ms))
+            n_active, vote = changed, now
+            if not vote:
+                break
+        else:
+            raise RuntimeError(f"not done after {max_iterations} iterations")
+    return Result(state.select("id", "value", "changed_at"), done, n, m, tuple(rounds.paths))
 
 
 def packing_touched(edges: DataFrame, state: DataFrame, engine: str, lanes: int = 4) -> tuple[int, int]:
