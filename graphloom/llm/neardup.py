@@ -15,8 +15,9 @@ share is kept, so entries favour edits over rearrangement. With 16 entries of or
    bucket of n texts makes n - 1 pairs, never n * n. A group of copies of one
    original meets that original as hub in most of its 31 buckets.
 3. Candidates whose shingle counts allow the similarity are checked on whole
-   texts: Jaccard similarity of the shingle sets, then banded word alignment (the
-   band closes as soon as too few words can still be aligned).
+   texts, a hub's in blocks: a pair links at Jaccard similarity of the shingle sets;
+   banded word alignment tells how much of both stands in the same order (null where
+   the band closes first: rearranged rather than edited texts, which still link).
 4. Classes are connected components. Texts of buckets that still hold several
    classes are then joined exactly: two texts of the similarity share a shingle
    among the rarest of each (prefix filter, with bounds by length and place). Only
@@ -48,8 +49,10 @@ WORDS = 5
 SIMILARITY = 0.8
 HASHES = 16
 ORDER = 3
-#: Words that a pair must keep in order, as a share of both texts.
-ALIGNED = 0.6
+#: Insertions and deletions up to which the alignment of a pair is followed.
+BAND = 400
+#: Members of a hub that are held against it by one task at a time.
+HUB_BLOCK = 64
 #: Ids of candidate texts that may be broadcast (16 bytes each: at most 16 MB).
 BROADCAST_IDS = 1_000_000
 #: Counters that order shingles by how common they are; the order only decides the work, never the pairs that hold.
@@ -105,7 +108,8 @@ def labelled(shingle: np.ndarray) -> tuple[np.ndarray, int]:
     first[1:] = ordered[1:] != ordered[:-1]
     distinct = int(first.sum())
     if distinct == len(shingle):
-        return shingle, distinct
+        # as the first occurrence is labelled below
+        return _mixed(shingle), distinct
     at = np.arange(len(ordered))
     occurrence = np.empty(len(ordered), np.uint64)
     occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
@@ -156,19 +160,18 @@ def sketches(docs: DataFrame, hashes: int = HASHES, order: int = ORDER) -> DataF
     return rows.mapInArrow(run, "doc_id long, text_key binary, n_shingles int, sketch array<long>")
 
 
-def aligned_share(a: list, b: list, least: float = ALIGNED) -> float:
-    """Share of both texts' words that an alignment keeps in order; 0 once it must fall below ``least``.
+def aligned_share(a: list, b: list, band: int = BAND) -> float | None:
+    """Share of both texts' words that an alignment keeps in order; None once it needs more than ``band`` changes.
 
     Furthest-reaching paths by number of insertions and deletions: after d of
-    them only diagonals within d of the main one are open, and d is bounded by
-    ``least``, so the work is a band around the diagonal.
+    them only diagonals within d of the main one are open, so the work is a band
+    around the diagonal, at most ``band`` squared beside the words themselves.
     """
     n, m = len(a), len(b)
     if n + m == 0:
         return 1.0
-    limit = int((1 - least) * (n + m))
     reach = {1: 0}
-    for d in range(limit + 1):
+    for d in range(min(band, n + m) + 1):
         for k in range(-d, d + 1, 2):
             x = reach.get(k + 1, -1) if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach.get(k - 1, -1) + 1
             y = x - k
@@ -178,19 +181,32 @@ def aligned_share(a: list, b: list, least: float = ALIGNED) -> float:
             reach[k] = x
             if x >= n and y >= m:
                 return (n + m - d) / (n + m)
-    return 0.0
+    return None
 
 
-def similarity(a: str, b: str, at_least: float = SIMILARITY) -> tuple[float, float]:
-    """Jaccard similarity of the shingle sets, and (where that is enough) the aligned share."""
-    with np.errstate(over="ignore"):
-        wa, wb = word_hashes(a), word_hashes(b)
-        sa, sb = np.unique(shingles(wa)), np.unique(shingles(wb))
-    if not len(sa) or not len(sb):
-        return (1.0, 1.0) if len(sa) == len(sb) else (0.0, 0.0)
-    shared = len(np.intersect1d(sa, sb, assume_unique=True))
-    jaccard = shared / (len(sa) + len(sb) - shared)
-    return jaccard, aligned_share(wa.tolist(), wb.tolist()) if jaccard >= at_least else 0.0
+class Verifier:
+    """One text that others are held against: its words and shingles are made once."""
+
+    def __init__(self, text: str | None):
+        with np.errstate(over="ignore"):
+            self.words = word_hashes(text)
+            self.shingles = np.unique(shingles(self.words))
+
+    def jaccard(self, other: Verifier) -> float:
+        a, b = self.shingles, other.shingles
+        if not len(a) or not len(b):
+            return float(len(a) == len(b))
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return shared / (len(a) + len(b) - shared)
+
+    def compare(self, other: Verifier, at_least: float = SIMILARITY) -> tuple[float, float | None]:
+        """Jaccard similarity of the shingle sets, and, where that is enough, the aligned share."""
+        jaccard = self.jaccard(other)
+        return jaccard, aligned_share(self.words.tolist(), other.words.tolist()) if jaccard >= at_least else None
+
+
+def similarity(a: str | None, b: str | None, at_least: float = SIMILARITY) -> tuple[float, float | None]:
+    return Verifier(a).compare(Verifier(b), at_least)
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
@@ -203,7 +219,7 @@ def _buckets(texts: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(members: DataFrame, at_least: float) -> DataFrame:
-    """(a, b) with a < b: each bucket's members with its hub, where their sizes allow the similarity."""
+    """(hub, id): each bucket's members with its hub, where their sizes allow the similarity."""
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     hubs = (
         members.join(weight, "id")
@@ -215,7 +231,7 @@ def _hub_pairs(members: DataFrame, at_least: float) -> DataFrame:
     return (
         members.join(hubs, "key")
         .where((F.col("id") != F.col("hub")) & (smaller >= at_least * larger))
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        .select("hub", "id")
         .distinct()
     )
 
@@ -269,7 +285,7 @@ def _prefixes(texts: DataFrame, at_least: float) -> DataFrame:
 
 
 def _exact_pairs(known: DataFrame, docs: DataFrame, at_least: float) -> DataFrame | None:
-    """(a, b) with a < b, of different classes: all that can be links among texts of buckets with several classes."""
+    """(hub, id) of different classes: all that can be links among texts of buckets with several classes; the larger id is ``id``."""
     mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     left = written(known.join(mixed.select("key"), "key").select("id", "component").distinct(), "left")
     if left.isEmpty():
@@ -288,31 +304,46 @@ def _exact_pairs(known: DataFrame, docs: DataFrame, at_least: float) -> DataFram
     return (
         x.join(y, "token")
         .where((F.col("x_component") != F.col("y_component")) & fits)
-        .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+        .select(F.least("x_id", "y_id").alias("hub"), F.greatest("x_id", "y_id").alias("id"))
         .distinct()
     )
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
-    """(a, b, jaccard, aligned) of the pairs that hold on their whole texts."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    """(a, b, jaccard, aligned) with a < b of the pairs (hub, id) that hold on their whole texts.
+
+    A hub's pairs go in blocks: a block has the hub's text once and the text of
+    each of its members, so a hub of very many pairs is spread over tasks.
+    """
+    wanted = written(pairs.select(F.col("hub").alias("id")).union(pairs.select("id")).distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # written, so that the joins stand alone: a hub in very many pairs can then be split between tasks
+    # written, so that the joins stand alone and stay splittable
     texts = written(texts.join(_sized(wanted), "id", "left_semi").dropDuplicates(["id"]), "candidates")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).alias("blocks"))
+    placed = written(pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id"), "placed")
+    members = placed.join(texts, "id").select("hub", "block", "id", "text")
+    hubs = placed.select("hub", "block").distinct().join(texts.withColumnRenamed("id", "hub"), "hub").select("hub", "block", F.lit(None).cast("long").alias("id"), "text")
+    schema = "a long, b long, jaccard double, aligned double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, place = None, None
         for batch in batches:
-            found = [similarity(x, y, at_least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            kept = pa.array([j >= at_least and s > 0 for j, s in found], pa.bool_())
+            found = []
+            for hub, block, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key is None:
+                    centre, place = Verifier(text), (hub, block)
+                    continue
+                if place != (hub, block):
+                    raise ValueError(f"the text of {hub} is missing")
+                jaccard, aligned = centre.compare(Verifier(text), at_least)
+                if jaccard >= at_least:
+                    found.append((min(hub, key), max(hub, key), jaccard, aligned))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())],
-                ["a", "b", "jaccard", "aligned"],
-            ).filter(kept)
+                [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["a", "b", "jaccard", "aligned"]
+            )
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, jaccard double, aligned double")
+    dealt = members.union(hubs).repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("id").asc_nulls_first())
+    return dealt.mapInArrow(run, schema)
 
 
 def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES, order: int = ORDER) -> DataFrame:
@@ -324,30 +355,33 @@ def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES,
     members = written(_buckets(texts.where("id is not null")), "buckets")
     pairs = written(_hub_pairs(members, at_least), "pairs")
     links = written(_verified(pairs, docs, at_least), "links")
-    found = weak_components(links, "a", "b")
+    found = written(weak_components(links, "a", "b"), "components")
     known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     more = _exact_pairs(known, docs, at_least)
     if more is not None:
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs.union(pairs.select("id", "hub"))
+        more = written(more.join(tried, ["hub", "id"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = written(_verified(more, docs, at_least).union(links), "links")
-            found = weak_components(links, "a", "b")
+            # stars of the classes so far, and the new links
+            stars = found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+            found = weak_components(_verified(more, docs, at_least).select("a", "b").union(stars), "a", "b")
     whole = made.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key", "left")
     return whole.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))
 
 
 def _sized(ids: DataFrame) -> DataFrame:
-    """Ids to be broadcast where a count shows that they are few, else joined through a shuffle."""
-    ids = ids.persist()
+    """Ids of a written table, to be broadcast where a count shows that they are few, else joined through a shuffle."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def keep_one(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class, one row each; rows without doc_id stay."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     found = written(classes(docs, at_least).where("doc_id is not null"), "classes")
-    dropped = found.where("doc_id <> class_id").select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.join(_sized(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = _sized(repeated)
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    dropped = written(found.where("doc_id <> class_id").select("doc_id").distinct(), "dropped")
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    kept = docs.join(_sized(dropped), "doc_id", "left_anti").select(*columns)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(_sized(repeated), "doc_id", "left_anti").select(*columns)
+    return once.union(kept.join(_sized(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns))

@@ -86,6 +86,24 @@ def test_classes_of_drifting_groups_equal_an_exact_join(docs, prose):
     assert found == {k: root(k) for k in range(len(texts))}
 
 
+def test_repeats_on_one_side_and_moved_blocks_link(spark, docs, prose):
+    words = prose(200, 31).split()
+    a, b = (np.sort(neardup.sketch(neardup.labelled(neardup.shingles(neardup.word_hashes(" ".join(w))))[0])) for w in (words, words + words[:8]))
+    assert len(np.intersect1d(a, b)) >= 8
+    rng = random.Random(5)
+    texts = [" ".join(words), " ".join(words + words[:8]), " ".join(words[100:] + words[:100])]
+    for k in range(12):  # lines repeated in one copy only
+        lines = [prose(12, 6000 + 20 * k + e) for e in range(15)]
+        texts += ["\n".join(lines), "\n".join(lines + rng.choices(lines, k=rng.randrange(1, 9)))]
+    long = prose(25_000, 77).split()
+    texts += [" ".join(long), " ".join(long[12_000:] + long[:12_000])]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(texts)).collect()}
+    assert found == {k: 0 if k < 3 else k - (k - 3) % 2 for k in range(len(texts))}
+    odd = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts[:3])], "doc_id long, text string, `a.b` string, hub long")
+    kept = neardup.keep_one(odd)
+    assert kept.columns == odd.columns and [r["doc_id"] for r in kept.collect()] == [0]
+
+
 def test_prefixes_of_similar_texts_meet():
     rng = np.random.default_rng(3)
     common = rng.integers(0, 9, 1 << neardup._SLOT_BITS)
@@ -176,7 +194,7 @@ def test_basis_covers_all_documents(docs, prose):
     for k, text in enumerate(texts):
         np.add.at(rows[k], decontaminate.term_ids(text), 1.0)
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    basis = decontaminate.latent_basis(docs(texts), [], idf)
+    basis = decontaminate.latent_basis(docs(texts), docs([]), idf)
     # a column's length is one over its eigenvalue
     assert 1 / np.linalg.norm(basis[:, 0]) == pytest.approx(np.linalg.eigvalsh(rows @ rows.T)[-1], rel=0.02)
 
@@ -245,6 +263,24 @@ def test_archives_round_trip(spark):
 
 # --- neighbours
 
+def test_neighbours_with_production_parameters(spark):
+    """Few candidates, and vectors whose squares over- or underflow."""
+    rng = np.random.default_rng(8)
+    few = [(k, rng.standard_normal(64).tolist()) for k in range(15)]
+    table = spark.createDataFrame(few, "vec_id long, embedding array<double>")
+    found = neighbours.search(table, table.where("vec_id % 20 = 0")).orderBy("rank").collect()
+    x = np.array([v for _, v in few])
+    exact = sorted(range(1, 15), key=lambda k: (-(x[0] * x[k]).sum(), k))
+    assert [r["vec_id"] for r in found] == exact and [r["rank"] for r in found] == list(range(1, 15))
+    odd = [(0, [1e-200] * 4), (1, [1e200] * 4), (2, [1.0, 2.0, 3.0, 4.0]), (3, [-1e200] * 4), (4, [0.0] * 4), (20, [1e200] * 4)]
+    table = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.search(table, table.where("vec_id % 20 = 0")).orderBy("rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [v for v, _ in found[0]] == [1, 20, 2, 3] and [v for v, _ in found[20]] == [1, 2, 0, 3]
+    assert found[20][0][1] == float("inf") and found[20][-1][1] == float("-inf")
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((8, 24))
@@ -283,8 +319,8 @@ def test_neighbours_of_short_tables_and_outlying_norms(spark):
     # one very long vector leaves the others' buckets as they are
     x = rng.standard_normal((1500, 100))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    norm2 = (np.vstack([x, 1e6 * x[:1]]) ** 2).sum(axis=1)
-    bands = neighbours.band_of(norm2, float(norm2.max()) ** 0.5)
+    norm = np.log2(np.linalg.norm(np.vstack([x, 1e6 * x[:1]]), axis=1))
+    bands = neighbours.band_of(norm, float(norm.max()))
     assert bands[-1] == 0 and bands[:-1].min() > 0
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, 1e6 * x[0]])], "vec_id long, embedding array<double>")
     got = {}
@@ -344,3 +380,48 @@ def test_pipeline(spark, docs, prose, benchmark, tmp_path):
     assert set(found) == (set(range(200)) - toxic) | {203, 204}
     assert found[204] == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "secrets", "bpe"]
+
+
+def test_relative_links(spark):
+    base = "http://h.com/dir/p?x=1"
+    cases = {
+        "?y=2": "http://h.com/dir/p?y=2", "../q": "http://h.com/q", "./q": "http://h.com/dir/q", "q/../r?a/../b": "http://h.com/dir/r?a/../b", "/a/./b/..": "http://h.com/a/",
+        "../../../z": "http://h.com/z", "//o.org/x": "http://o.org/x", "HTTPS://o.org/x": "HTTPS://o.org/x", "javascript:go()": None, "mailto:a@b.c": None, "#top": None, "": None, "q": "http://h.com/dir/q",
+    }
+    rows = spark.createDataFrame([(t, base) for t in cases], "target string, base string")
+    found = {r["target"]: r["found"] for r in rows.withColumn("found", urls._absolute(F.col("target"), F.col("base"))).collect()}
+    assert found == cases
+    assert spark.createDataFrame([("q", "http://h.com")], "t string, b string").select(urls._absolute(F.col("t"), F.col("b"))).first()[0] == "http://h.com/q"
+
+
+def test_aliases_match_a_search_of_the_graph(spark):
+    rng = random.Random(12)
+    hosts = ["a.example.org", "b.net", "c.com", "d.org"]
+    name = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['es', 'en', 'fr', 'de'])}/{rng.randrange(6)}"
+    pages = [(k, name(), "" if rng.random() < 0.4 else f'<link rel="canonical" href="{name()}">') for k in range(150)]
+    edges, known = {}, {}
+
+    def rule(url):
+        host, path = url.split("://")[1].split("/", 1)
+        fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fits, key=lambda r: (len(r.name), r.verdict == "allow")) if fits else None
+
+    for _, url, html in pages:
+        known[url] = rule(url)
+        if html:
+            to = html.split('"')[3]
+            known[to] = rule(to)
+            edges.setdefault(url, set()).add(to)
+            edges.setdefault(to, set()).add(url)
+    expected = {}
+    for k, url, _ in pages:
+        seen, queue = {url}, [url]
+        while queue:
+            more = edges.get(queue.pop(), set()) - seen
+            seen |= more
+            queue += more
+        own = known[url]
+        said = {known[u].verdict for u in seen if known[u]}
+        expected[k] = own.verdict if own else "block" if said == {"block"} else "allow"
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in urls.verdicts(table).collect()} == expected

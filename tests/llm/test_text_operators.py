@@ -125,6 +125,25 @@ def test_pii_marks_cover_what_is_rewritten(text, monkeypatch):
     assert gated[0] != gated[1] or "one23" in text
 
 
+def test_pii_gate_and_margin_lose_nothing(monkeypatch):
+    rng = random.Random(9)
+    pieces = ["one ", "two", " three ", "5", " 5 ", "55", " dot ", ".", " at ", " [at] ", "(dot)", "@", "name", "x1", " com ", "com", " and ", "the words ", ", ", "+1 ", "-", " point ", "f\u00fcnf ", "\u043ene", "ONE ", "4111 1111 1111 ", "\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(2, 60))) for _ in range(1500)]
+    texts += ["".join(rng.choices(["one ", "5 ", "5 point ", "filler "], [3, 30, 30, 1], k=400)) for _ in range(50)]
+    gated = [pii.find(t, s) for t, s in zip(texts, pii.may_spell(texts), strict=True)]
+    monkeypatch.setattr(pii, "_stretches", lambda whole, spelled=True: [(0, len(whole))])
+    for text, found in zip(texts, gated, strict=True):
+        assert found == pii.find(text), text
+    assert sum(a != b for a, b in gated) > 100
+
+
+def test_pii_disguises_of_any_length():
+    for local, host in (("n" * 300, "example dot com"), ("a dot " * 40 + "b", "c dot " * 30 + "org"), ("x", "y" * 400 + " dot " + "z" * 60)):
+        text = f"write to {local} [at] {host} , now"
+        base, found = pii.find(text, pii.may_spell([text])[0])
+        assert base["email"] == [] and [text[s:e] for s, e in found["email"]] == [f"{local} [at] {host}"]
+
+
 def test_pii_rows(docs):
     texts = [*ODD, "x@y.zz and 1.2.3.4", "9" * 20_000, "a" * 50_000, "0" * 5000 + "1.2.3.4"]
     found = rows(pii.digests(docs(texts)))
@@ -208,6 +227,42 @@ def test_toxicity_learns_words_and_sees_through_disguise(labelled, docs):
     assert kept.columns == docs(odd).columns and kept.count() == 4
 
 
+def test_toxicity_signs_beside_and_inside_words():
+    lexicon = toxicity.Lexicon({"idiot": 2.0}, (), (-3.0, 2.0, 1.0))
+    for text in ("you idiot now", "you idiot! now", "you $idiot now", "you @idiot@ now", "you id!ot now", "(1d10t)", "IDI\u039fT"):
+        assert lexicon.features(text)[2] == 1, text
+    for text in ("you idiots", "xidiot", "idiot7", "7idiot", ""):
+        assert lexicon.features(text)[2] == 0, text
+    assert toxicity.words_of("You idiot! $now b@d") == ["you", "idiot", "now", "bad"]
+
+
+def test_toxicity_hits_match_an_exhaustive_search():
+    lexicon = toxicity.Lexicon({"bad": 1.0, "badass": 2.0, "sad": 4.0, "a": 8.0}, ("sad dad", "a bad"))
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice(["b", "a", "d", "s", "4", "@", "$", "5", " ", "!", "\u0430", "D", "bad", "sad dad", " a "]) for _ in range(rng.randrange(25)))
+        plain = toxicity.shaped(text)
+        folded = toxicity.fold(text)
+
+        def at(phrase, plain=plain, folded=folded):
+            edge = lambda k: not (0 <= k < len(plain) and plain[k].isalnum())
+            return [k for k in range(len(folded)) if folded.startswith(phrase, k) and edge(k - 1) and edge(k + len(phrase))]
+
+        excused = [(k, k + len(x)) for x in lexicon.exceptions for k in at(x)]
+        hits = [(k, t) for t in lexicon.weights for k in at(t) if not any(s <= k and k + len(t) <= e for s, e in excused)]
+        assert lexicon.features(text)[2] == len(hits), text
+
+
+def test_toxicity_learns_exceptions(docs, spark, prose):
+    texts = [prose(8, k) + (" you scum" if k % 2 else " the pond scum here" if k % 4 == 0 else "") + f" end{k}" for k in range(600)]
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(docs(texts), labels)
+    if "scum" in lexicon.weights:
+        assert "pond scum" in lexicon.exceptions and "you scum" not in lexicon.exceptions
+    low, high = (r["score"] for r in rows(toxicity.score(docs(["what a pond scum", "say you scum"]), lexicon)))
+    assert low < high
+
+
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     lexicon = toxicity.learn(docs(["a b c"]), none)
