@@ -22,4 +22,5 @@ _DIGIT_BLOCKS = (0x0660, 0x06F0, 0x0966, 0x09E6, 0x0E50)
 _DIGITS = {chr(start + k): str(k) for start in _DIGIT_BLOCKS for k in range(10)}
 
 SHAPES = str.maketrans(HOMOGLYPHS | _FULL_WIDTH | _DIGITS)
-LETTERS = str.maketrans(HOMOGLYPHS | _FULL_WIDTH | _DIGITS | LEET)
+#: To be applied after SHAPES.
+LETTERS = str.maketrans(LEET)

@@ -1,18 +1,23 @@
 """Toxicity by a weighted lexicon (operator 5).
 
-Texts are folded (homoglyphs, then digits and signs that stand for letters) and
-lower-cased; an Aho-Corasick automaton finds every lexicon term and exception
-phrase in one pass over the whole text. A term counts where it stands as a word
-and no exception phrase covers it. The sum of the weights, as it is and per
-hundred words, goes through a two-feature logistic calibration.
-
-Lexicon, weights and calibration are learned from labelled rows: at most
-``max_train`` of them, the lowest by a hash of doc_id. Near copies among them are
+Texts are lower-cased and folded (homoglyphs, then digits and signs that stand for
+letters); an Aho-Corasick automaton finds every lexicon term and exception phrase in
+one pass over the whole text. A term counts where it stands as a word and no
+exception phrase covers it. Whether it does is asked of the text before signs became
+letters, so ``idiot!`` and ``$idiot`` hold a word beside a sign, and ``id!ot`` a word
+with one inside. The sum of the weights, as it is and per hundred words, goes through
+a two-feature logistic calibration.
+
+Lexicon, exceptions, weights and calibration are learned from labelled rows: at most
+``max_train`` of them, the lowest by a hash of doc_id. A word is a term by its share
+of toxic rows; a pair of words with a term in it is an exception if it stands in
+several rows and none of them, or hardly any, is toxic. Near copies among them are
 set aside (one row per minimum shingle hash), so that one text's vocabulary
 cannot pass for a class's. Scoring itself is a map over all rows.
 
 Cases: null and empty texts have no hits and the score of a text without hits;
-rows without doc_id are scored as any others (null doc_id, never used to learn);
+rows without doc_id are scored as any others (null doc_id, not held out, never used to
+learn); of rows that share a doc_id any may be learned from, all with that id's label;
 repeated rows are scored alike; without labels of both kinds the score is 0
 everywhere; unknown columns are ignored, whatever their names.
 """
@@ -32,19 +37,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import small_batches
-from .folding import LETTERS
+from .folding import LETTERS, SHAPES
 
-#: Phrases in which a term is no insult (editorial; a parameter of the model).
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "circus clown", "clown fish", "sore loser")
 MAX_TRAIN = 20_000
-MAX_TERMS = 500
 THRESHOLD = 0.7
+#: Rows that a phrase must stand in to be an exception, and its largest share of toxic ones.
+EXCEPTION_ROWS, EXCEPTION_SHARE = 5, 0.1
 
-_WORD = re.compile(r"\w+")
+#: Letters and digits, with signs that may stand for letters only between them.
+_WORD = re.compile(r"\w+(?:[@$!]+\w+)*")
+
+
+def shaped(text: str | None) -> str:
+    """Lower case, look-alikes as Latin letters and digits: one character each."""
+    return (text or "").lower().translate(SHAPES)
 
 
 def fold(text: str | None) -> str:
-    return (text or "").lower().translate(LETTERS)
+    """``shaped``, with digits and signs as the letters that they stand for: as long, place by place."""
+    return shaped(text).translate(LETTERS)
+
+
+def words_of(text: str | None) -> list[str]:
+    """The folded words of a text."""
+    return [w.translate(LETTERS) for w in _WORD.findall(shaped(text))]
 
 
 @dataclass(frozen=True)
@@ -52,7 +68,7 @@ class Lexicon:
     """Term weights, exception phrases and the calibration ``bias, total, density``."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     calibration: tuple[float, float, float] = (-math.inf, 0.0, 0.0)
     _automaton: list = field(default_factory=list, compare=False, repr=False)
 
@@ -70,7 +86,7 @@ class Lexicon:
             for term, weight in self.weights.items():
                 made.add_word(term, (len(term), weight))
             for phrase in self.exceptions:
-                made.add_word(fold(phrase), (len(phrase), 0.0))
+                made.add_word(folded := fold(phrase), (len(folded), 0.0))
             made.make_automaton()
             self._automaton.append(made)
         return self._automaton[0]
@@ -79,12 +95,12 @@ class Lexicon:
         """Log of the weighted hits, their density per hundred words, and their number."""
         if not self.weights or not text:
             return 0.0, 0.0, 0
-        folded = fold(text)
+        plain = shaped(text)
         found, excused = [], []
-        size = len(folded)
-        for end, (length, weight) in self.automaton().iter(folded):
+        size = len(plain)
+        for end, (length, weight) in self.automaton().iter(plain.translate(LETTERS)):
             start = end - length + 1
-            if (start and (folded[start - 1].isalnum())) or (end + 1 < size and folded[end + 1].isalnum()):
+            if (start and plain[start - 1].isalnum()) or (end + 1 < size and plain[end + 1].isalnum()):
                 continue
             (found if weight else excused).append((start, end, weight))
         if not found:
@@ -101,8 +117,8 @@ class Lexicon:
 
 
 def held_out(doc_id: str = "doc_id"):
-    """True for the third of the rows that no label is learned from."""
-    return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3) == 1
+    """True for the third of the rows that no label is learned from; false without doc_id."""
+    return F.coalesce((F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3) == 1, F.lit(False))
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataFrame:
@@ -128,7 +144,7 @@ def _distinct_texts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             least = []
             for text in batch.column("text").to_pylist():
-                words = _WORD.findall(fold(text))
+                words = words_of(text)
                 grams = {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
                 least.append(min(crc32(g.encode()) for g in grams))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "least"])
@@ -137,7 +153,7 @@ def _distinct_texts(rows: DataFrame) -> DataFrame:
         rows.select("doc_id", "text", "y")
         .mapInArrow(sketch, "doc_id long, text string, y int, least long")
         .groupBy("least")
-        .agg(F.min_by(F.struct("doc_id", "text", "y"), "doc_id").alias("row"))
+        .agg(F.min(F.struct("doc_id", "text", "y")).alias("row"))
         .select("row.*")
     )
 
@@ -148,12 +164,25 @@ def _terms(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = sorted({w for w in _WORD.findall(fold(text)) if 3 <= len(w) <= 40})
+                words = sorted(set(words_of(text)))
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([y] * len(words), pa.int32())], ["term", "y"])
 
     return rows.select("text", "y").mapInArrow(run, "term string, y int")
 
 
+def _phrases(rows: DataFrame, terms: set[str]) -> DataFrame:
+    """(phrase, y) for each distinct pair of neighbouring words, one blank apart, of which one is a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if (a in terms) != (b in terms)})
+                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array([y] * len(pairs), pa.int32())], ["phrase", "y"])
+
+    return rows.select("text", "y").mapInArrow(run, "phrase string, y int")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the first weight is the bias."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -171,13 +200,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train: int = MAX_TRAIN) -> Lexicon:
     """A lexicon from the labelled rows that aren't held out.
 
     A term is taken if the lower end of the interval of its share of toxic rows
-    (two standard deviations) lies far above the base rate, and it occurs in
-    enough rows; what reaches the driver is at most ``max_terms`` terms and
-    three numbers a training row.
+    (two standard deviations) lies far above the base rate, and it occurs in at
+    least a hundredth of the toxic rows, so their number is bounded by a hundred
+    times the words of a toxic row. What reaches the driver are terms, exceptions
+    and three numbers a training row.
     """
     small_batches(docs.sparkSession)
     rows = _distinct_texts(_training_rows(docs, labels, target, max_train)).persist()
@@ -194,15 +224,23 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train:
             counted.where((F.col("tf") >= F.lit(max(3, math.ceil(0.01 * toxic)))))
             .withColumn("sure", sure)
             .where(F.col("sure") >= min(0.95, base + 0.25 * (1 - base)))
-            .orderBy(F.desc("tf"), "term")
-            .limit(max_terms)
+            .orderBy("term")
             .collect()
         )
         odds = math.log(base / (1 - base))
         weights = {r["term"]: round(math.log((r["share"] + 1e-3) / (1 - r["share"] + 1e-3)) - odds, 4) for r in found}
-        lexicon = Lexicon(weights)
         if not weights:
             return Lexicon({}, calibration=(odds, 0.0, 0.0))
+        harmless = (
+            _phrases(rows, set(weights))
+            .groupBy("phrase")
+            .agg(F.count("*").alias("df"), F.sum("y").alias("tf"))
+            .where((F.col("df") >= EXCEPTION_ROWS) & (F.col("tf") <= EXCEPTION_SHARE * F.col("df")))
+            .orderBy("phrase")
+            .collect()
+        )
+        exceptions = tuple(r["phrase"] for r in harmless)
+        lexicon = Lexicon(weights, exceptions)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -215,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train:
         seen = rows.select("text", "y").mapInArrow(measure, "total double, density double, y int").collect()
         data = np.array(seen, dtype=float)
         fitted = logistic(np.column_stack([data[:, 0], np.log1p(data[:, 1])]), data[:, 2])
-        return Lexicon(weights, calibration=tuple(float(v) for v in fitted))
+        return Lexicon(weights, exceptions, tuple(float(v) for v in fitted))
     finally:
         rows.unpersist()
 
