@@ -11,8 +11,8 @@ probes, in every band and table, the ``probes`` axes nearest to its own rotation
 Found candidates are reranked by the exact inner product in double precision.
 A query whose probes find fewer than ``k`` is scored against all vectors of its length.
 
-Work is cut into blocks of a (table, bucket): ``block`` bounds the vectors and the
-queries that meet in a task, so a bucket holding a third of all vectors is just
+Work is cut into blocks of a (table, bucket): ``block`` rows and ``BLOCK_BYTES`` bound
+the vectors and the queries that meet in a task at any size of table, so a bucket holding a third of all vectors is just
 more blocks. Nothing is capped: every vector of a probed bucket is scored, and
 a block returns its ``k`` best for each query with ties by vec_id.
 
@@ -23,13 +23,16 @@ Fewer probes buy speed on clustered data.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no
 part, neither as query nor as candidate; vectors only meet vectors of their own
-length; a query with fewer candidates than k gets all of them;
-rows that repeat a vec_id are candidates once per distinct score; a table without
-usable vectors gives no rows; unknown columns are ignored.
+length; a query with fewer candidates than k gets all of them; rows of a query's
+own vec_id are the query's own row, and so no candidates of it; rows that repeat
+another vec_id are candidates once per distinct score; finite vectors of any length
+take part, and a product beyond a double is infinite; a table without usable vectors
+gives no rows; unknown columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,13 +46,12 @@ from ..lineage import written
 
 TABLES = 8
 PROBES = 32
-#: Least number of rows of a block's side; blocks grow with the table so that their number doesn't.
-BLOCK = 256
+#: Rows of a block's side at most, and their bytes (in doubles): what a task holds doesn't grow with the table.
+BLOCK = 2048
+BLOCK_BYTES = 16 << 20
 _SLICE = 256
 #: Ratio of the norms of a band; bands are counted from the largest norm of a length of vector.
 _BAND = 2**0.5
-#: Rounding of fast products: what lies this close to a query's k-th best is scored exactly.
-_NEAR = 1e-9
 
 
 def padded(dim: int) -> int:
@@ -89,32 +91,37 @@ def axes(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
 
 
 def _completed(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
+    """Unit vectors of one more coordinate; ``largest`` is log2 of the norm that data vectors are scaled by."""
     out = np.zeros((len(x), padded(x.shape[1])))
     if query:
+        # by the largest component first: squares can't over- or underflow then
+        x = x / np.abs(x).max(axis=1, keepdims=True)
         out[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     else:
-        scaled = x / largest
+        whole = math.floor(largest)
+        scaled = np.ldexp(x, -whole) / 2.0 ** (largest - whole)
         out[:, : x.shape[1]] = scaled
         out[:, x.shape[1]] = np.sqrt(np.maximum(0.0, 1.0 - (scaled**2).sum(axis=1)))
     return out
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v, dim, norm2) of the vectors that take part."""
+    """(id, v, dim, norm) of the vectors that take part; norm is log2 of the length, which no finite vector exceeds a double by."""
     v = F.col(vector).cast("array<double>")
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))
     return (
         vectors.select(F.col(key).cast("long").alias("id"), v.alias("v"))
         .where("id is not null and v is not null and size(v) > 0")
         .where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-        .select("id", "v", F.size("v").alias("dim"), norm2.alias("norm2"))
-        .where("norm2 > 0 and norm2 < double('infinity')")
+        .withColumn("most", F.array_max(F.transform("v", lambda x: F.abs(x))))
+        .where("most > 0")
+        .select("id", "v", F.size("v").alias("dim"), (F.log2("most") + F.log2(squares) / 2).alias("norm"))
     )
 
 
-def band_of(norm2: np.ndarray, largest: float) -> np.ndarray:
-    """Which band a squared norm is in: 0 holds the largest norm of its length of vector."""
-    return np.maximum(0, np.floor((np.log2(largest) - 0.5 * np.log2(norm2)) / np.log2(_BAND) + 1e-6)).astype(np.int32)
+def band_of(norm: np.ndarray, largest: float) -> np.ndarray:
+    """Which band a norm is in (both as log2): 0 holds the largest norm of its length of vector."""
+    return np.maximum(0, np.floor((largest - norm) / np.log2(_BAND) + 1e-6)).astype(np.int32)
 
 
 def _banded(base: DataFrame, norms: dict[int, float]) -> DataFrame:
@@ -122,14 +129,14 @@ def _banded(base: DataFrame, norms: dict[int, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, norm2 = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
+            dims, norm = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
             band = np.zeros(len(dims), np.int32)
             for dim in np.unique(dims):
                 at = dims == dim
-                band[at] = band_of(norm2[at], norms[int(dim)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band, pa.int32())], ["id", "v", "dim", "norm2", "band"])
+                band[at] = band_of(norm[at], norms[int(dim)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band, pa.int32())], ["id", "v", "dim", "norm", "band"])
 
-    return base.select("id", "v", "dim", "norm2").mapInArrow(run, "id long, v array<double>, dim int, norm2 double, band int")
+    return base.select("id", "v", "dim", "norm").mapInArrow(run, "id long, v array<double>, dim int, norm double, band int")
 
 
 def _buckets(rows: DataFrame, norms: dict[tuple[int, int], float], tables: int, probes: int, query: bool) -> DataFrame:
@@ -142,7 +149,7 @@ def _buckets(rows: DataFrame, norms: dict[tuple[int, int], float], tables: int,
                 at = np.flatnonzero((dims == dim) & (bands == band))
                 part = batch.column(1).take(pa.array(at))
                 x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
-                unit = _completed(x, norms.get((dim, band), 1.0), query)
+                unit = _completed(x, norms.get((dim, band), 0.0), query)
                 for table in range(tables):
                     found = axes(unit, table, probes)
                     each = np.repeat(np.arange(len(at)), found.shape[1])
@@ -165,22 +172,28 @@ def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Iterator[pd.D
     q_ids, v_ids = queries["id"].to_numpy(), vectors["id"].to_numpy()
     order = np.argsort(v_ids, kind="stable")
     v_ids, v = v_ids[order], np.stack(vectors["v"].to_numpy())[order]
-    for start in range(0, len(q_ids), _SLICE):
-        ids, q = q_ids[start : start + _SLICE], np.stack(queries["v"].to_numpy()[start : start + _SLICE])
-        fast = q @ v.T
-        fast[ids[:, None] == v_ids[None, :]] = -np.inf
-        if len(v_ids) > k:
-            floor = np.partition(fast, len(v_ids) - k, axis=1)[:, len(v_ids) - k] - _NEAR
-        else:
+    # how far a fast product can be off; what lies so close to a query's k-th best is scored exactly
+    off = 1e-15 * v.shape[1] ** 2 * np.abs(v).max()
+    with np.errstate(over="ignore", invalid="ignore"):
+        for start in range(0, len(q_ids), _SLICE):
+            ids, q = q_ids[start : start + _SLICE], np.stack(queries["v"].to_numpy()[start : start + _SLICE])
+            other = ids[:, None] != v_ids[None, :]
+            fast = q @ v.T
+            # overflows of both signs cancel to no number: last of all
+            fast[np.isnan(fast) | ~other] = -np.inf
             floor = np.full(len(ids), -np.inf)
-        rows, cols = np.nonzero((fast >= floor[:, None]) & (fast > -np.inf))
-        # one fixed order of additions for a pair, wherever it is met
-        exact = (q[rows] * v[cols]).sum(axis=1)
-        order = np.lexsort((v_ids[cols], -exact, rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        kept = place < k
-        yield pd.DataFrame({"query_id": ids[rows[kept]], "vec_id": v_ids[cols[kept]], "score": exact[kept]})
+            if len(v_ids) > k:
+                floor = np.partition(fast, len(v_ids) - k, axis=1)[:, len(v_ids) - k] - off * np.abs(q).max(axis=1)
+                floor = np.where(np.isnan(floor), -np.inf, floor)
+            rows, cols = np.nonzero((fast >= floor[:, None]) & other)
+            # one fixed order of additions for a pair, wherever it is met
+            exact = (q[rows] * v[cols]).sum(axis=1)
+            exact[np.isnan(exact)] = -np.inf
+            order = np.lexsort((v_ids[cols], -exact, rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            kept = place < k
+            yield pd.DataFrame({"query_id": ids[rows[kept]], "vec_id": v_ids[cols[kept]], "score": exact[kept]})
 
 
 def search(
@@ -197,13 +210,13 @@ def search(
     spark = vectors.sparkSession
     base, asked = usable(vectors, key, vector), usable(queries, key, vector)
     # one row a length of vector
-    norms = {r["dim"]: float(r["m"]) ** 0.5 for r in base.groupBy("dim").agg(F.max("norm2").alias("m")).collect()}
+    norms = {r["dim"]: float(r["m"]) for r in base.groupBy("dim").agg(F.max("norm").alias("m")).collect()}
     if not norms:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = asked.where(F.col("dim").isin(list(norms)))
     banded = _banded(base, norms)
     # one row a band of norms
-    largest = {(r["dim"], r["band"]): float(r["m"]) ** 0.5 for r in banded.groupBy("dim", "band").agg(F.max("norm2").alias("m")).collect()}
+    largest = {(r["dim"], r["band"]): float(r["m"]) for r in banded.groupBy("dim", "band").agg(F.max("norm").alias("m")).collect()}
     index = _buckets(banded, largest, tables, 1, query=False)
     probed = _buckets(asked.withColumn("band", F.lit(0)), {}, tables, probes, query=True).drop("band")
     found = _ranked(_meeting(index, probed, ["dim", "hash_table", "bucket"], ["band"], k, block), k)
@@ -227,14 +240,11 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def _meeting(index: DataFrame, probed: DataFrame, place: list[str], more: list[str], k: int, block: int) -> DataFrame:
     """(query_id, dim, vec_id, score): the k best of each query in each block of a place; ``more`` parts only the index."""
     spark = index.sparkSession
+    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))
     # as many rows as places: sizes of buckets, never rows
-    counts = index.groupBy(*place, *more).agg(F.count("*").alias("n")).collect()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(block, -(-sum(c["n"] for c in counts) // (4 * parts)))
-    names = ", ".join(f"{c} int" for c in place + more)
-    slots = spark.createDataFrame([(*(c[p] for p in place + more), -(-c["n"] // size)) for c in counts], f"{names}, slots int")
-    asked = probed.groupBy(*place).agg(F.count("*").alias("n"))
-    layout = slots.join(asked, place).select(*place, *more, "slots", F.ceil(F.col("n") / size).cast("int").alias("rows"))
+    slots = index.groupBy(*place, *more).agg(F.ceil(F.count("*") / size).cast("int").alias("slots"))
+    asked = probed.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("int").alias("rows"))
+    layout = slots.join(asked, place).select(*place, *more, "slots", "rows")
     layout = F.broadcast(spark.createDataFrame(layout.collect(), layout.schema))
     cell = [*place, *more, "slot", "row"]
     stored = index.join(layout, place + more).select(
