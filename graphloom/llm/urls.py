@@ -12,7 +12,8 @@ Two spellings that differ in fragment, scheme or host case are one URL here, and
 so one node. Nodes are 128-bit digests, so edges stay small whatever the URLs.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule
-and belongs to no class (allow); a null html has no links; repeated rows each give
+and belongs to no class (allow); a null html has no links; empty targets, fragments
+and targets of schemes without ``://`` (mail, scripts) are no links; repeated rows each give
 a row; an empty table gives no rows; unknown columns are ignored.
 """
 
@@ -81,17 +82,35 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.when(quoted != "", quoted).otherwise(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*([^\s\"'>]+)", 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; ``..`` at the top is dropped."""
+    parts = F.split(path, "/", -1)
+
+    def step(kept: Column, part: Column) -> Column:
+        # the first, empty part stands for the root and stays
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(kept)
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.array_append(kept, part))
+
+    whole = F.aggregate(parts, F.array().cast("array<string>"), step)
+    # a last segment of dots names a folder
+    return F.concat(F.array_join(whole, "/"), F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+
+
 def _absolute(target: Column, base: Column) -> Column:
-    """A link target against its page: absolute, scheme-relative, host-relative or relative."""
+    """A link target against its page: absolute, scheme-relative, host-relative, query only or relative; null for other schemes."""
     target = F.replace(F.trim(target), F.lit("&amp;"), F.lit("&"))
-    origin = F.concat(F.lit("http://"), host_of(base))
-    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    origin, path = F.concat(F.lit("http://"), host_of(base)), path_of(base)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    named = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    joined = F.when(target.startswith("/"), named).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), named))
     return (
-        F.when(target == "", F.lit(None))
-        .when(F.instr(target, "://") > 0, target)
+        F.when((target == "") | target.startswith("#"), F.lit(None))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(origin, target))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, _without_dots(joined), rest))
     )
 
 
