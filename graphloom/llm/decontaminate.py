@@ -1,11 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval (operator 7).
 
-1. Document frequencies of hashed words over all documents, summed as a tree of
-   fixed-size vectors.
-2. A randomised SVD of TF-IDF passages: two rounds of ``A'(A Q)``, the passages
-   spread over tasks and the products summed as a tree, then a small eigenproblem. The
-   basis is fitted to the benchmark's items and all passages of all documents; a task
-   hands on terms x rank numbers, whatever it reads.
+1. One pass over all documents and items counts in how many texts each hashed word is
+   and adds up passages, with random signs, for the range Q of the next step.
+2. A randomised SVD of TF-IDF passages: the products A'(A Q) give singular values and
+   vectors. The basis is fitted once, to all passages of the benchmark's items and of all
+   documents; a task hands on terms x width numbers, whatever it reads, summed in slices.
 3. Every document is cut into blocks of eight words; sums of 2, 4, 8, ... blocks are
    passages of 16, 32, 64, ... words (and blocks are passages of eight), each half a
    passage after the last. An item is compared with all passages of the next smaller and
@@ -43,11 +42,18 @@ RANK = 128
 NEAR = 0.4
 #: Least number of tasks of the fit; there is one a core where there are more, so that few products are summed.
 _FIT_TASKS = 8
+_SLICES = 32
+#: Columns of the range finder beyond the rank, and sums that a passage goes to.
+_OVERSAMPLE, _SIGNS = 16, 2
 OVERLAP = 0.7
 ITEM_BLOCK = 5_000
 BLOCK = 8
 _FIT_WORDS = 32
-_ROWS = 4096
+#: Passages of the fit and blocks of the search at a time: their vectors stay in a core's cache.
+_FIT_ROWS = 128
+#: Occurrences among those from which a term counts as common.
+_COMMON = 3
+_ROWS = 1024
 
 _ANSWER = re.compile(r"(?:^|\b)answer\s*:\s*(.+)$|\?\s*([^?]+)$", re.I | re.S)
 
@@ -140,97 +146,153 @@ def term_ids(text: str | None) -> np.ndarray:
     return Words.of(text).terms
 
 
-def _tree_sum(parts: DataFrame, dtype: type) -> np.ndarray | None:
-    """Sum of one vector a task, as a tree: no node gets more than a few."""
-    vectors = parts.rdd.map(lambda r: np.frombuffer(r[0], dtype))
-    return vectors.treeAggregate(None, _plus, _plus, depth=3)
+def _summed(parts: DataFrame, *wanted: tuple[tuple[int, ...], type]) -> list[np.ndarray]:
+    """Sums of arrays that tasks give as rows (slice, v): slices are summed apart, and the driver gets the sums."""
+    kinds = [kind for _, kind in wanted]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(v.as_buffer(), kinds[k // _SLICES])
+                total[k] = total[k] + part if k in total else part
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slice", "v"])
 
-def _plus(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
-    return b if a is None else a if b is None else a + b
+    dealt = parts.repartition(_SLICES, "slice").mapInArrow(run, "slice int, v binary")
+    out = [np.zeros(shape, kind) for shape, kind in wanted]
+    flat = [part for total in out for part in np.array_split(total.reshape(-1), _SLICES)]
+    for row in dealt.toLocalIterator():
+        flat[row["slice"]][:] = np.frombuffer(row["v"], kinds[row["slice"] // _SLICES])
+    return out
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """How many documents have each hashed word, and how many there are; over all rows."""
+def _sliced(*totals: np.ndarray) -> pa.RecordBatch:
+    """Arrays as rows (slice, v)."""
+    parts = [part for total in totals for part in np.array_split(total.reshape(-1), _SLICES)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TERMS + 1, np.int64)
-        for batch in batches:
-            for group in together(batch.column(0).to_pylist()):
-                words, text_of = Words.of_many(group)
-                for first in range(0, len(group), 256):
-                    mine = (text_of >= first) & (text_of < first + 256)
-                    seen = np.zeros((min(256, len(group) - first), TERMS), bool)
-                    seen[text_of[mine] - first, words.terms[mine]] = True
-                    total[:TERMS] += seen.sum(axis=0)
-                total[TERMS] += len(group)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
-
-    total = _tree_sum(docs.select(F.col("text").cast("string")).mapInArrow(run, "v binary"), np.int64)
-    return (np.zeros(TERMS, np.int64), 0) if total is None else (total[:TERMS], int(total[TERMS]))
-
-
-def _gram(row: np.ndarray, ids: np.ndarray, idf: np.ndarray, q: np.ndarray, out: np.ndarray) -> None:
-    """Adds A'(A q) to ``out`` for unit TF-IDF passages; ``row`` says which passage each term id is in."""
-    cells, counts = np.unique(row * TERMS + ids, return_counts=True)
-    row, term = cells // TERMS, cells % TERMS
-    weight = counts * idf[term]
-    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    passage = np.cumsum(np.r_[False, row[1:] != row[:-1]])
-    norm = np.sqrt(np.add.reduceat(weight**2, starts))
-    weight = (weight / np.maximum(norm, 1e-12)[passage]).astype(q.dtype)[:, None]
-    projected = np.add.reduceat(weight * q[term], starts)
-    order = np.argsort(term, kind="stable")
-    term, back = term[order], weight[order] * projected[passage[order]]
-    firsts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-    out[term[firsts]] += np.add.reduceat(back, firsts)
+
+def _fit_rows(*tables: DataFrame) -> DataFrame:
+    """The texts of tables, dealt to a bounded number of tasks, as each hands on a whole array."""
+    rows = tables[0].select(F.col("text").cast("string").alias("text"))
+    for table in tables[1:]:
+        rows = rows.union(table.select(F.col("text").cast("string").alias("text")))
+    return rows.coalesce(max(_FIT_TASKS, rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def _count_documents(total: np.ndarray, words: Words, text_of: np.ndarray, n: int) -> None:
+    """Adds to ``total`` how many of n texts have each term, and at its end how many there are."""
+    for first in range(0, n, 256):
+        mine = (text_of >= first) & (text_of < first + 256)
+        seen = np.zeros((min(256, n - first), TERMS), bool)
+        seen[text_of[mine] - first, words.terms[mine]] = True
+        total[:TERMS] += seen.sum(axis=0)
+    total[TERMS] += n
+
+
+def _passages(groups: Iterator[list[str | None]], idf: np.ndarray | None = None, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, term, weight) of the cells of unit TF-IDF passages (TF without ``idf``), a few thousand words at a time; passages count from 0.
+
+    ``counts`` gets the numbers of texts with each term.
+    """
+    for group in groups:
+        words, text_of = Words.of_many(group)
+        if counts is not None:
+            _count_documents(counts, words, text_of, len(group))
+        if not len(words):
+            continue
+        sizes = np.bincount(text_of, minlength=len(group))
+        passages = -(-sizes // _FIT_WORDS)
+        at = np.arange(len(words)) - (np.cumsum(sizes) - sizes)[text_of]
+        row = (np.cumsum(passages) - passages)[text_of] + at // _FIT_WORDS
+        for first in range(0, int(row[-1]) + 1, _FIT_ROWS):
+            mine = slice(*np.searchsorted(row, [first, first + _FIT_ROWS]))
+            cells, times = np.unique((row[mine] - first) * TERMS + words.terms[mine], return_counts=True)
+            passage, term = cells // TERMS, cells % TERMS
+            weight = times.astype(float) if idf is None else times * idf[term]
+            norm = np.sqrt(np.bincount(passage, weight**2))
+            yield passage, term, weight / np.maximum(norm, 1e-12)[passage]
 
 
 def _orthonormal(x: np.ndarray) -> np.ndarray:
     return np.linalg.qr(x)[0]
 
 
-def latent_basis(docs: DataFrame, items: list[str], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Whitened right singular vectors (terms x rank) of the TF-IDF passages, by a distributed randomised SVD.
-
-    Each is divided by its eigenvalue: what all passages share stops drowning
+def _add_products(total: np.ndarray, passage: np.ndarray, term: np.ndarray, weight: np.ndarray, table: np.ndarray) -> None:
+    """Adds A'(A table) to ``total`` for cells of A: common terms as a small matrix, others one occurrence after another."""
+    seen = np.zeros((int(passage[-1]) + 1, table.shape[1]), np.float32)
+    order = np.argsort(term, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
+    times = np.diff(np.r_[starts, len(term)])
+    is_common = np.empty(len(term), bool)
+    is_common[order] = np.repeat(times > _COMMON, times)
+    common = term[order[starts[times > _COMMON]]]
+    dense = np.zeros((len(seen), len(common)), np.float32)
+    dense[passage[is_common], np.searchsorted(common, term[is_common])] = weight[is_common]
+    rest = np.flatnonzero(~is_common)
+    if len(rest):
+        at = np.flatnonzero(np.r_[True, np.diff(passage[rest]) != 0])
+        seen[passage[rest[at]]] = np.add.reduceat(weight[rest, None] * table[term[rest]], at)
+    seen += dense @ table[common]
+    total[common] += dense.T @ seen
+    starts, times = starts[times <= _COMMON], times[times <= _COMMON]
+    for k in range(_COMMON):
+        # each term once
+        cell = order[starts[times > k] + k]
+        total[term[cell]] += weight[cell, None] * seen[passage[cell]]
+
+
+def fitted(docs: DataFrame, items: DataFrame, rank: int = RANK, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the terms (``idf``, if given), and whitened right singular vectors (terms x rank) of the TF-IDF passages A.
+
+    A distributed randomised SVD in two passes, both over all passages of documents and
+    items alike. The first counts in how many texts each term is, and finds the range:
+    each passage, scaled by its plain term counts, is added with random signs to a few
+    random ones of ``width`` sums; weighted by term, these span Q. The second sums
+    A'(A Q), which with Q'A'A Q gives the eigenvalues and vectors of A'A (Nystroem).
+    Each vector is divided by its eigenvalue: what all passages share stops drowning
     what tells them apart, so that cosines of unrelated passages lie near zero.
     """
-    tasks = max(_FIT_TASKS, docs.sparkSession.sparkContext.defaultParallelism)
-    rows = docs.select(F.col("text").cast("string").alias("text")).coalesce(tasks)
+    rows, width = _fit_rows(docs, items), rank + _OVERSAMPLE
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, counts = np.zeros(TERMS * width), np.zeros(TERMS + 1, np.int64)
+        for batch in batches:
+            for passage, term, weight in _passages(together(batch.column(0).to_pylist()), counts=counts):
+                # seeded by what is read, so that a task that runs again gives the same
+                rng = np.random.default_rng([len(term), *term[:8].tolist(), *term[-8:].tolist()])
+                place = rng.integers(0, width, (int(passage[-1]) + 1, _SIGNS))
+                sign = rng.choice([-1.0, 1.0], place.shape)
+                for k in range(_SIGNS):
+                    np.add.at(total, term * width + place[passage, k], weight * sign[passage, k])
+        yield _sliced(total.astype(np.float32), counts)
+
+    sums, counts = _summed(rows.mapInArrow(sketch, "slice int, v binary"), ((TERMS, width), np.float32), ((TERMS + 1,), np.int64))
+    if idf is None:
+        idf = np.log((1 + counts[TERMS]) / (1 + counts[:TERMS])) + 1e-3
+    q = _orthonormal(sums.astype(np.float64) * idf[:, None])
+    table = q.astype(np.float32)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((TERMS, width))
+        for batch in batches:
+            part = np.zeros((TERMS, width), np.float32)
+            for passage, term, weight in _passages(together(batch.column(0).to_pylist()), idf):
+                _add_products(part, passage, term, weight.astype(np.float32), table)
+            total += part
+        yield _sliced(total.astype(np.float32))
 
-    def product(q: np.ndarray) -> np.ndarray:
-        single = q.astype(np.float32)
+    image = _summed(rows.mapInArrow(product, "slice int, v binary"), ((TERMS, width), np.float32))[0].astype(np.float64)
+    # directions that nothing lies in are left out
+    inner, across = np.linalg.eigh((q.T @ image + image.T @ q) / 2)
+    held = inner > max(1e-9, 1e-7 * inner[-1])
+    vectors, lengths, _ = np.linalg.svd(image @ (across[:, held] / np.sqrt(inner[held])), full_matrices=False)
+    return idf, vectors[:, :rank] / np.maximum(lengths[:rank] ** 2, 1e-9)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(single.shape)
-            for batch in batches:
-                for group in together(batch.column(0).to_pylist()):
-                    words, text_of = Words.of_many(group)
-                    if not len(words):
-                        continue
-                    counts = np.bincount(text_of, minlength=len(group))
-                    passages = -(-counts // _FIT_WORDS)
-                    at = np.arange(len(words)) - (np.cumsum(counts) - counts)[text_of]
-                    row = (np.cumsum(passages) - passages)[text_of] + at // _FIT_WORDS
-                    # passages of a long text in parts
-                    for first in range(0, int(row[-1]) + 1, _ROWS):
-                        mine = slice(*np.searchsorted(row, [first, first + _ROWS]))
-                        _gram(row[mine], words.terms[mine], idf, single, out)
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["v"])
-
-        total = _tree_sum(rows.mapInArrow(run, "v binary"), np.float32)
-        total = np.zeros_like(q) if total is None else total.reshape(q.shape).astype(np.float64)
-        for item in items:
-            if len(ids := term_ids(item)):
-                _gram(np.zeros(len(ids), np.int64), ids, idf, q, total)
-        return total
-
-    q = _orthonormal(np.random.default_rng(11).standard_normal((len(idf), rank + 8)))
-    q = _orthonormal(product(q))
-    values, vectors = np.linalg.eigh(q.T @ product(q))
-    top = np.argsort(-values)[:rank]
-    return q @ vectors[:, top] / np.maximum(values[top], 1e-9)
+
+def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    return fitted(docs, items, rank, idf)[1]
 
 
 def common_subsequence(positions: dict[bytes, int], size: int, words: list[bytes]) -> int:
@@ -278,17 +340,24 @@ class Detector:
         self.terms = np.vstack([terms, np.zeros((1, terms.shape[1]))]).astype(np.float32)
         self.bits = [_bits(list(i.words)) for i in self.items]
         self.tables: dict[int, np.ndarray] = {}
+        self.buffer: np.ndarray | None = None
         # an item is sought at both widths (in blocks) next to its length: a narrow passage holds few
         # foreign words, a wide one most of the item
         self.spans: list[tuple[int, np.ndarray, np.ndarray]] = []
         widths = np.array([max(0, math.floor(math.log2(len(i.words) / BLOCK))) for i in self.items], int)
         for width in sorted({w + more for w in widths.tolist() for more in (0, 1)}):
             mine = np.flatnonzero((widths == width) | (widths + 1 == width))
-            self.spans.append((1 << width, mine, self._unit(np.stack([self.terms[self.items[k].terms].sum(axis=0) for k in mine])).T.copy()))
+            vectors = np.stack([self.terms[self.items[k].terms].sum(axis=0) for k in mine])
+            self.spans.append((1 << width, mine, (vectors / self._norms(vectors)).T.copy()))
 
     @staticmethod
-    def _unit(rows: np.ndarray) -> np.ndarray:
-        return rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+    def _norms(rows: np.ndarray) -> np.ndarray:
+        return np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+
+    def _words(self, size: int) -> np.ndarray:
+        if self.buffer is None:
+            self.buffer = np.empty((size, self.terms.shape[1]), np.float32)
+        return self.buffer
 
     def candidates(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(items, first blocks, blocks of a passage) of the passages near an item, in a run of whole blocks of terms."""
@@ -296,16 +365,20 @@ class Detector:
         reach, step = self.spans[-1][0], _ROWS
         for start in range(0, len(terms) // BLOCK, step):
             part = terms[start * BLOCK : (start + step + reach) * BLOCK]
-            sums, width = self.terms[part].reshape(-1, BLOCK, self.terms.shape[1]).sum(axis=1), 1
+            # one buffer for all stretches: fresh memory costs more than what is done with it
+            words = self._words((step + reach) * BLOCK)[: len(part)]
+            np.take(self.terms, part, axis=0, out=words, mode="clip")
+            sums, width, stride = words.reshape(-1, BLOCK, words.shape[1]).sum(axis=1), 1, 1
             for span, items, vectors in self.spans:
                 while width < span:
-                    # passages of twice the width, at every place where one of half the width starts
-                    wider = sums.copy()
-                    wider[: max(0, len(sums) - width)] += sums[width:]
-                    sums, width = wider, width * 2
-                stride = max(1, span // 2)
-                rows, cols = np.nonzero(self._unit(sums[::stride]) @ vectors >= self.near)
-                if len(rows):
+                    # passages of twice the width, half a passage apart: sums of two of half the width
+                    wider = sums[:: max(1, width // stride)].copy()
+                    beside = sums[width // stride :: max(1, width // stride)]
+                    wider[: len(beside)] += beside
+                    sums, stride, width = wider, width, width * 2
+                near = sums @ vectors >= self.near * self._norms(sums)
+                if near.any():
+                    rows, cols = np.nonzero(near)
                     yield items[cols], start + rows * stride, span
 
     def find_many(self, texts: list[str | None]) -> list[list[tuple[int | None, float]]]:
@@ -376,14 +449,13 @@ def detectors(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap
     if not count:
         return
     small_batches(docs.sparkSession)
-    frequency, n = document_frequencies(docs)
-    idf = np.log((1 + n) / (1 + frequency)) + 1e-3
+    idf, basis = fitted(docs, rows, rank)
+    terms = idf[:, None] * basis
     blocks = -(-count // item_block)
     for block in range(blocks):
         # hashing deals items out; a block holds item_block of them on average
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        basis = latent_basis(docs, [r["text"] for r in mine], idf, rank)
-        yield Detector([Item.of(r["item_id"], r["text"]) for r in mine], idf[:, None] * basis, near, overlap)
+        yield Detector([Item.of(r["item_id"], r["text"]) for r in mine], terms, near, overlap)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
