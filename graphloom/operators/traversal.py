@@ -24,17 +24,19 @@ def program(root: int, parent: str) -> VertexProgram:
     )
 
 
-def bfs(graph: Graph, root: int = 0, parent: str = "max", direction: Direction | None = None, stats: bool = False) -> tuple[DataFrame, Result]:
+def bfs(graph: Graph, root: int = 0, parent: str = "max", direction: Direction | None = None, stats: bool = False, root_parent: bool = False) -> tuple[DataFrame, Result]:
     """(id, level, parent) of all vertices, and the run.
 
     Of several parents one level up, the largest (or smallest, ``parent="min"``) is
-    taken. The root has level 0 and no parent; an unreached vertex has neither.
+    taken. The root has level 0 and no parent (itself with ``root_parent``); an unreached
+    vertex has neither.
     """
     if parent not in ("max", "min"):
         raise ValueError(f"no such choice of parent: {parent}")
     done = run(graph, program(root, parent), direction, stats=stats)
     level = F.when(F.col("id") == root, F.lit(0)).when(F.col("changed_at") > 0, F.col("changed_at"))
-    return done.state.select("id", level.alias("level"), F.col("value").alias("parent")), done
+    parents = F.when(F.col("id") == root, F.lit(root)).otherwise(F.col("value")) if root_parent else F.col("value")
+    return done.state.select("id", level.alias("level"), parents.cast("long").alias("parent")), done
 
 
 def reachable(levels: DataFrame) -> DataFrame:

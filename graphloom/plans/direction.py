@@ -25,6 +25,8 @@ class Direction:
     count_degrees: bool = True
     edge_share: int = 5  # pull above 1/5 of the edges
     vertex_share: int = 2  # without degrees: above 1/2 of the vertices
+    weak_pull: bool = False  # pulling takes messages of changed vertices only
+    strong_push: bool = True  # pushing starts from changed vertices only
 
     def __post_init__(self):
         if self.engine not in ("auto", "pull", "push"):

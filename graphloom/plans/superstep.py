@@ -49,6 +49,19 @@ class Result:
     n_edges: int = 0
     paths: tuple[str, ...] = ()
 
+    def summary(self) -> DataFrame:
+        """One row: sizes, iterations by engine, milliseconds and millions of edges a second (all edges counted each iteration)."""
+        ms = sum(i.ms for i in self.iterations)
+        pulls = sum(i.engine == "pull" for i in self.iterations)
+        rate = self.n_edges * len(self.iterations) / ms / 1000 if ms else 0.0
+        row = (self.n_vertices, self.n_edges, len(self.iterations), pulls, len(self.iterations) - pulls, ms, rate)
+        return self.state.sparkSession.createDataFrame([row], "n_vertices long, n_edges long, iterations int, pulls int, pushes int, ms long, million_edges_per_sec double")
+
+    def stats(self, lanes: int = 4) -> DataFrame:
+        """Edge vectors and edges that each iteration looked at, and how full the vectors were; for runs with ``stats``."""
+        rows = [(i.iteration, i.vectors, i.edges, 100.0 * i.edges / (i.vectors * lanes) if i.vectors else 0.0, i.ms, i.n_active / max(1, self.n_vertices)) for i in self.iterations if i.vectors is not None]
+        return self.state.sparkSession.createDataFrame(rows, "iteration int, vectors long, edges long, efficiency double, ms long, frontier_ratio double")
+
     def release(self) -> None:
         """Delete the state of the run (as a context manager does at its end)."""
         for path in self.paths:
@@ -77,11 +90,16 @@ def start(graph: Graph, program: VertexProgram) -> DataFrame:
     )
 
 
-def messages(edges: DataFrame, state: DataFrame, program: VertexProgram, engine: str, n_active: int) -> DataFrame:
-    """(id, msg): reduced messages. Pulling reads all edges; pushing those that leave active vertices."""
-    senders = state.where("active") if engine == "push" or program.once else state
+def messages(edges: DataFrame, state: DataFrame, program: VertexProgram, engine: str, n_active: int, weak_pull: bool = False, strong_push: bool = True) -> DataFrame:
+    """(id, msg): reduced messages. Pulling reads all edges; pushing those that leave active vertices.
+
+    ``weak_pull`` leaves out the messages of vertices that haven't changed, ``strong_push=False``
+    sends them along; what a vertex makes of its messages is the same.
+    """
+    only_active = program.once or (strong_push if engine == "push" else weak_pull)
+    senders = state.where("active") if only_active else state
     senders = senders.select(F.col("id").alias("src"), "value")
-    if engine == "push":
+    if engine == "push" and only_active:
         senders = near(senders, n_active)
     sent = edges.join(senders, "src")
     if program.once and engine == "pull":
@@ -127,7 +145,7 @@ def run(graph: Graph, program: VertexProgram, direction: Direction | None = None
             began = time.perf_counter()
             engine = direction.choose(vote, n, m)
             vectors, touched = packing_touched(edges, state, engine) if stats else (None, None)
-            after = advance(state, messages(edges, state, program, engine, n_active), program, iteration)
+            after = advance(state, messages(edges, state, program, engine, n_active, direction.weak_pull, direction.strong_push), program, iteration)
             state, changed, now = _stored(rounds, after, direction.vote(F.col("outdeg")))
             ms = round(1000 * (time.perf_counter() - began))
             done.append(Iteration(iteration, engine, vote, n_active, changed, now, vectors, touched, ms))

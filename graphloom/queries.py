@@ -17,6 +17,7 @@ from .sources import derived, edge_list
 ROUND = 10
 PARTS = 4
 UNITS = 32
+ROOT = 7
 
 # --- graphs -----------------------------------------------------------------------------------------
 
@@ -70,6 +71,12 @@ _CC = """cc(id, label) USING KEY (id) AS (SELECT id, id FROM verts UNION
 _BOTH = "both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 _BFS = """b(id, level) USING KEY (id) AS (SELECT 0::BIGINT, 0 UNION
     SELECT e.dst, min(b.level + 1) FROM b JOIN edges e ON e.src = b.id LEFT JOIN recurring.b r ON r.id = e.dst WHERE r.id IS NULL GROUP BY e.dst)"""
+_CC_ROUNDS = """st(it, id, label, changed) AS (SELECT 0, id, id, true FROM verts UNION ALL
+    SELECT s.it + 1, s.id, least(s.label, coalesce(min(f.label), s.label)), coalesce(min(f.label), s.label) < s.label
+    FROM st s LEFT JOIN edges e ON e.dst = s.id LEFT JOIN st f ON f.id = e.src WHERE (SELECT bool_or(changed) FROM st) GROUP BY s.it, s.id, s.label)"""
+_CC_PROFILE = """, lv AS (SELECT it, count(*) FILTER (changed) AS n, CAST(coalesce(sum(1 + od) FILTER (changed), 0) AS BIGINT) AS vote FROM st JOIN vd USING (id) GROUP BY it)
+    SELECT z.it AS iteration, CASE WHEN a.vote > (SELECT count(*) FROM edges) // 5 THEN 'Pull' ELSE 'Push' END AS engine,
+           a.vote AS vote_before, a.n AS n_active, z.n AS n_changed, z.vote FROM lv z JOIN lv a ON a.it = z.it - 1"""
 _PARENTS = """parents AS (SELECT d.id, {pick}(s.id) AS parent FROM edges JOIN b s ON s.id = src JOIN b d ON d.id = dst WHERE d.level = s.level + 1 GROUP BY d.id)"""
 
 
@@ -170,8 +177,32 @@ def _cc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.directed_components(derived.sparse(spark, sf_dir)).profile()
 
 
-def _binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = derived.sparse(spark, sf_dir)
+def _bfs_profile_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.bfs(derived.copurchase(spark, sf_dir), direction=Direction(edge_share=20))[1].profile()
+
+
+def _bfs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.bfs(derived.copurchase(spark, sf_dir))[1].summary().drop("ms", "million_edges_per_sec")
+
+
+def _bfs_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = traversal.bfs(derived.copurchase(spark, sf_dir), stats=True)[1].stats()
+    return done.select("iteration", "vectors", "edges", F.round("efficiency", 6).alias("efficiency"), F.round("frontier_ratio", 8).alias("frontier_ratio"))
+
+
+def _bfs_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = traversal.bfs(derived.sparse(spark, sf_dir), root=ROOT, root_parent=True)
+    return found.selectExpr("id", _missing_as_minus_one("level"), _missing_as_minus_one("parent"))
+
+
+def _rank_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "rank-text")
+    edge_list.write_lines(_rank_text(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _binary_round_trip(spark: SparkSession, sf_dir: str, name: str = "sparse") -> DataFrame:
+    graph = GRAPHS[name](spark, sf_dir)
     path = new_path(spark, "edge-list")
     edge_list.write(Graph.dense(spark, graph.n_vertices, graph.edges), path)
     return edge_list.read(spark, path).edges
@@ -182,7 +213,7 @@ def _missing_as_minus_one(column: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    sparse = derived.sparse
+    sparse, full = derived.sparse, derived.copurchase
     made = {
         "out_degree": lambda s, d: sparse(s, d).out_degrees(),
         "in_degree": lambda s, d: sparse(s, d).in_degrees(),
@@ -230,6 +261,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bfs_profile": _bfs_profile,
         "edge_text_export": lambda s, d: edge_list.edge_lines(sparse(s, d)),
         "edge_binary_roundtrip": _binary_round_trip,
+        "cc_weak_pull": _directed(Direction("pull", weak_pull=True)),
+        "cc_nostrong_push": _directed(Direction("push", strong_push=False)),
+        "bfs_profile_20": _bfs_profile_20,
+        "bfs_summary": _bfs_summary,
+        "bfs_stats": _bfs_stats,
+        "bfs_root": _bfs_root,
+        "pagerank_file": _rank_file,
+        # the whole co-purchase graph, where the others see its sparse part
+        "out_degree_full": lambda s, d: full(s, d).out_degrees(),
+        "in_degree_full": lambda s, d: full(s, d).in_degrees(),
+        "packed_vectors_full": lambda s, d: packing.pack(full(s, d)),
+        "pack_in_4_full": lambda s, d: packing.pack_stats(full(s, d), "dst", 4),
+        "pack_out_16_full": lambda s, d: packing.pack_stats(full(s, d), "src", 16),
+        "vertex_index_in_full": lambda s, d: packing.vertex_index(full(s, d), "dst"),
+        "edge_ranges_full": lambda s, d: packing.edge_ranges(full(s, d), PARTS),
+        "vertex_ranges_full": lambda s, d: packing.vertex_ranges(full(s, d), PARTS),
+        "work_units_full": lambda s, d: packing.work_units(full(s, d), UNITS),
+        "edge_text_export_full": lambda s, d: edge_list.edge_lines(full(s, d)),
+        "edge_binary_roundtrip_full": lambda s, d: _binary_round_trip(s, d, "copurchase"),
+        "cc_directed_full": _directed(graph="copurchase"),
+        "cc_undirected_full": lambda s, d: components.undirected_components(full(s, d)),
+        "bfs_level_full": lambda s, d: traversal.bfs(full(s, d))[0].selectExpr("id", _missing_as_minus_one("level")),
     }
     for lanes in (4, 8, 16):
         for name, by in (("in", "dst"), ("out", "src")):
@@ -310,6 +363,30 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT row_number() OVER (ORDER BY dst, src) + 1, src || ' ' || dst FROM edges""",
         "edge_binary_roundtrip": _with("sparse") + "SELECT src, dst FROM edges",
     }
+    profile, levels_of_run = sql["bfs_profile"], _with("copurchase", _BFS, _DEGREES, recursive=True)
+    sql |= {
+        "cc_weak_pull": sql["cc_directed"],
+        "cc_nostrong_push": sql["cc_directed"],
+        "cc_profile": _with("sparse", _DEGREES, _CC_ROUNDS, recursive=True) + _CC_PROFILE,
+        "bfs_profile_20": profile.replace("// 5", "// 20"),
+        "bfs_summary": f"""SELECT (SELECT count(*) FROM part) AS n_vertices, (SELECT count(*) FROM ({_STEPS}) WHERE dst IS NOT NULL) AS n_edges, CAST(count(*) AS INT) AS iterations,
+            CAST(count(*) FILTER (engine = 'Pull') AS INT) AS pulls, CAST(count(*) FILTER (engine = 'Push') AS INT) AS pushes FROM ({profile})""",
+        "bfs_stats": levels_of_run
+        + """, lv AS (SELECT level, count(*) AS n, CAST(sum(1 + od) AS BIGINT) AS vote, CAST(sum((od + 3) // 4) AS BIGINT) AS vectors, CAST(sum(od) AS BIGINT) AS edges FROM b JOIN vd USING (id) GROUP BY level),
+            pulled AS (SELECT CAST(sum((c + 3) // 4) AS BIGINT) AS vectors, CAST(sum(c) AS BIGINT) AS edges FROM (SELECT count(*) AS c FROM edges GROUP BY dst)),
+            met AS (SELECT level, n, CASE WHEN vote > pulled.edges // 5 THEN pulled.vectors ELSE lv.vectors END AS vectors, CASE WHEN vote > pulled.edges // 5 THEN pulled.edges ELSE lv.edges END AS edges FROM lv, pulled)
+            SELECT CAST(level + 1 AS INT) AS iteration, vectors, edges, round(CASE WHEN vectors = 0 THEN 0 ELSE 100.0::DOUBLE * edges / (vectors * 4) END, 6) AS efficiency,
+                   round(n::DOUBLE / (SELECT count(*) FROM verts), 8) AS frontier_ratio FROM met""",
+        "bfs_root": _with("sparse", _BFS.replace("0::BIGINT", f"{ROOT}::BIGINT"), _PARENTS.format(pick="max"), recursive=True)
+        + f"""SELECT v.id, CAST(coalesce(b.level, -1) AS BIGINT) AS level, CASE WHEN v.id = {ROOT} THEN {ROOT} ELSE coalesce(p.parent, -1) END AS parent
+            FROM verts v LEFT JOIN b ON v.id = b.id LEFT JOIN parents p ON v.id = p.id""",
+        "pagerank_file": f"SELECT line FROM ({sql['pagerank_text']})",
+        "pack_in_4_full": _stats_sql("dst", 4),
+        "pack_out_16_full": _stats_sql("src", 16),
+    }
+    whole = ["out_degree", "in_degree", "packed_vectors", "vertex_index_in", "edge_ranges", "vertex_ranges", "work_units", "edge_text_export", "edge_binary_roundtrip", "cc_directed", "cc_undirected", "bfs_level"]
+    sql |= {f"{name}_full": sql[name] for name in whole}
+    sql |= {name: text.replace(GRAPH_SQL["sparse"], GRAPH_SQL["copurchase"]) for name, text in sql.items() if name.endswith("_full")}
     for lanes in (4, 8, 16):
         sql |= {f"pack_in_{lanes}": _stats_sql("dst", lanes), f"pack_out_{lanes}": _stats_sql("src", lanes)}
     return sql
