@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import new_path
+from ..lineage import new_path, written
 from .batches import small_batches
 
 MIN_BYTES = 1000
-#: Rows an archive holds at most: it bounds the size of the pieces that are read back.
-ARCHIVE_RECORDS = 20_000
+#: Bytes of records that an archive holds about, before compression: it bounds the pieces that are read back.
+ARCHIVE_BYTES = 128 << 20
+#: Records are written by class of size, each class 16 times the one before, from this many bytes up.
+_SMALL = 8 << 10
 #: Digests of repeated payloads that may be broadcast (40-character keys: under 16 MB).
 BROADCAST_DIGESTS = 100_000
 #: Index entries that one merging task holds.
@@ -59,8 +61,15 @@ def _id(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
 
 
+def _utc(seconds: Column) -> Column:
+    """Seconds since 1970 as a date and time in UTC, whatever the session's zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    rest = F.pmod(seconds, F.lit(86400))
+    return F.concat(day.cast("string"), F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(F.pmod(rest, F.lit(3600)) / 60), F.pmod(rest, F.lit(60))))
+
+
 def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One WARC record a row, as a string without the closing separator."""
+    """(value, size): one WARC record a row, as a string without the closing separator, and its payload's bytes."""
     page = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "%0A").alias("url"),
@@ -86,7 +95,7 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             F.lit("\r\nWARC-Record-ID: "),
             _id(F.col("page_id")),
             F.lit("\r\nWARC-Date: "),
-            F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.col("page_id"), F.lit(0)) % 100_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            _utc(F.lit(1_600_000_000) + F.coalesce(F.col("page_id"), F.lit(0)) % 100_000_000),
             F.lit("\r\nWARC-Target-URI: "),
             F.col("url"),
             F.lit("\r\nX-URL-Key: "),
@@ -104,19 +113,34 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             F.octet_length(block).cast("string"),
             F.lit("\r\n\r\n"),
             block,
-        ).alias("value")
+        ).alias("value"),
+        "size",
     )
 
 
 def _sized(repeated: DataFrame) -> DataFrame:
     """Broadcast the repeated digests if they are few (counted first); else Spark's shuffled join, split where skewed."""
-    repeated = repeated.persist()
+    repeated = written(repeated, "repeated")
     return F.broadcast(repeated) if repeated.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS else repeated
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_records: int = ARCHIVE_RECORDS) -> None:
-    """Write ``pages`` as gzip-compressed archives under ``path``."""
-    records(pages, min_bytes).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
+def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write ``pages`` as gzip-compressed archives under ``path``.
+
+    An archive holds records of one class of size, so many that the largest of them come
+    to ``archive_bytes``; a larger record has an archive of its own.
+    """
+    made = records(pages, min_bytes)
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    # one number: which classes there are follows from the largest payload
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    top = _SMALL
+    below = 0
+    while below <= largest:
+        mine = made if top > largest and not below else made.where((F.col("size") >= below) & (F.col("size") < top))
+        # a record's head is some hundred bytes beside its payload and the two copies of its URL
+        mine.select("value").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, archive_bytes // top)).text(path)
+        below, top = top, top * 16
 
 
 class _Inflated:
