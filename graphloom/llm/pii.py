@@ -25,11 +25,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import small_batches
+from .decontaminate import TERMS, Words, term_ids, together
 from .folding import SHAPES
 
 # The kinds in their order.
@@ -111,26 +113,25 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 _DIGIT = rf"(?:(?:{_WORDS})\b|[0-9])"
-#: At least seven digits, one of them spelled, with an optional spelled plus.
+#: At least four digits, some of them or the signs between them spelled, with an optional spelled plus.
 _SPELLED_RUN = re.compile(rf"(?:\bplus[ -]+|\+ ?)?\b{_DIGIT}(?:(?:[ ,.()-]{{0,3}}|[ ]+(?:dot|point)[ ]+){_DIGIT}){{3,}}", re.I)
 #: Every run that a spelled digit could be in has one beside another digit, on one side or the other.
 _GAP = r"(?:[ ,.()-]{0,3}|[ ]+(?:dot|point)[ ]+)"
 _ANY_SPELLED = re.compile(rf"(?:{_WORDS})\b{_GAP}(?:(?:{_WORDS})\b|[0-9])|[0-9]{_GAP}(?:{_WORDS})\b", re.I)
 _SPELLED_WORD = re.compile(rf"\b(?:{_WORDS})\b|\b(?:plus|dot|point)\b[ ]*", re.I)
-_AT = r"(?:[ ]?[\[({<][ ]?(?:at|@|à|arroba)[ ]?[\])}>][ ]?|[ ]+(?:at|AT|arroba)[ ]+|[ ]+@[ ]*|@[ ]+)"
-_DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[\])}>][ ]?|[ ]+(?:dot|DOT|punkt|punto)[ ]+|\.)"
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:{_AT}|@)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,5}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])",
-    re.I,
-)
+_AT = r"(?:[ ]?[\[({<][ ]?(?:at|@|à|arroba)[ ]?[\])}>][ ]?|[ ]++(?:at|arroba)[ ]++|[ ]++@[ ]*+|@[ ]++)"
+_DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[\])}>][ ]?|[ ]++(?:dot|punkt|punto)[ ]++|\.)"
+_PART = r"[A-Za-z0-9_%+-]++"
+#: Names joined by signs, plain or spelled out. Each stands once: runs don't overlap, and none starts within a name.
+_RUN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_PART}(?:(?:{_AT}|@|{_DOT}){_PART})++", re.I)
+_SIGN = re.compile(rf"(?P<at>{_AT}|@)|{_DOT}", re.I)
+_LABEL, _TOP = re.compile(r"[A-Za-z0-9-]+"), re.compile(r"[A-Za-z]{2,}")
 _ANY_DISGUISE = re.compile(
-    r"[\[({<][ ]?(?:at|@|dot|à|arroba|punkt|point|punto|\.)[ ]?[\])}>]|[ ](?:dot|punkt|punto)[ ]|[ ]@|@[ ]"
-    rf"|[ ](?:at|arroba)[ ]+[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9-]",
+    r"[\[({<][ ]?(?:at|@|dot|à|arroba|punkt|point|punto|\.)[ ]?[\])}>]|[ ](?:dot|punkt|punto)[ ]|[ ]point[ ]++[0-9]|[ ]@|@[ ]"
+    rf"|[ ](?:at|arroba)[ ]++[A-Za-z0-9_%+-]++{_DOT}[A-Za-z0-9_%+-]",
     re.I,
 )
-_DOTTED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_AT_PART = re.compile(_AT, re.I)
+_DOTTED_IP = re.compile(rf"(?<![0-9.])[0-9]++(?:{_DOT}[0-9]++){{3}}(?![0-9])", re.I)
 _DOT_PART = re.compile(_DOT, re.I)
 
 
@@ -168,15 +169,34 @@ def _shapes(m: Mapped) -> Mapped:
     return m.rewrite(hidden) if hidden else m
 
 
+def _written_out(run: str) -> list[tuple[int, int, str]]:
+    """The signs of a run of names that make addresses of it, leftmost first: (start, end, character)."""
+    signs = list(_SIGN.finditer(run))
+    edges = [0, *(x.end() for x in signs)], [*(x.start() for x in signs), len(run)]
+    names = [run[a:b] for a, b in zip(*edges, strict=True)]
+    changes, free = [], 0
+    for k, sign in enumerate(signs):
+        if not sign["at"]:
+            continue
+        # names up to the sign, back to the one before or to what an address has taken
+        first = k
+        while first > free and not signs[first - 1]["at"]:
+            first -= 1
+        last = k + 1
+        while last < len(names) and _LABEL.fullmatch(names[last]) and (last == k + 1 or not signs[last - 1]["at"]):
+            last += 1
+        while last > k + 2 and not _TOP.fullmatch(names[last - 1]):
+            last -= 1
+        if first < free or last < k + 3:
+            continue
+        changes += [(x.start(), x.end(), "@" if x is sign else ".") for x in signs[first : last - 1]]
+        free = last
+    return changes
+
+
 def _signs(m: Mapped) -> Mapped:
     """``name (at) host dot tld`` and dotted quads written out."""
-    changes = []
-    for run in _DISGUISED.finditer(m.text):
-        at = next((x for x in _AT_PART.finditer(m.text, run.start(), run.end())), None)
-        parts = [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(m.text, run.start(), run.end()) if not at or x.end() <= at.start() or x.start() >= at.end()]
-        if at:
-            parts.append((at.start(), at.end(), "@"))
-        changes += sorted(parts)
+    changes = [(run.start() + a, run.start() + b, new) for run in _RUN.finditer(m.text) for a, b, new in _written_out(run.group())]
     done = m.rewrite(changes) if changes else m
     quads = [(x.start(), x.end(), ".") for run in _DOTTED_IP.finditer(done.text) for x in _DOT_PART.finditer(done.text, run.start(), run.end())]
     return done.rewrite(quads) if quads else done
@@ -201,29 +221,109 @@ def _digits(m: Mapped) -> Mapped:
 
 #: What the transducers could change: worth a second look.
 _SUSPECT = re.compile("[" + "".join(map(re.escape, sorted(map(chr, SHAPES)))) + INVISIBLE + "]")
-#: Characters of prose kept on either side of something to rewrite.
+#: Characters of prose kept on either side of something to rewrite, before what stands there is completed.
 MARGIN = 160
-
-
-def _stretches(text: str) -> list[Span]:
-    """Parts of a text that the transducers could change, with margins, merged where they meet."""
-    marks = [m.span() for pattern in (_ANY_DISGUISE, _ANY_SPELLED) for m in pattern.finditer(text)]
+#: What an identifier may go on with beyond a blank: digits and their signs.
+_NUMBER = frozenset("0123456789+(),.-")
+#: Letters that only re.IGNORECASE takes for those of a spelled digit.
+_ODD_CASE = re.compile("[\u017f\u212a\u0130\u0131]")
+_DIGIT_LETTER = re.compile(r"[0-9][A-Za-z]")
+
+
+def _goes_on(word: str) -> bool:
+    """Whether a number could go on with this word."""
+    return bool(word) and (_NUMBER.issuperset(word) or word.lower() in ("dot", "point"))
+
+
+def _left(text: str, at: int, floor: int) -> int:
+    """The start of the name, or of the run of numbers, that ``at`` is in, not before ``floor``."""
+    while at > floor:
+        while at > floor and not text[at - 1].isspace():
+            at -= 1
+        blank = at
+        while blank > floor and text[blank - 1].isspace():
+            blank -= 1
+        word = blank
+        while word > floor and not text[word - 1].isspace():
+            word -= 1
+        if not _goes_on(text[word:blank]):
+            break
+        at = word
+    return at
+
+
+def _right(text: str, at: int) -> int:
+    """The end of the name, or of the run of numbers, that ``at`` is in."""
+    size = len(text)
+    while at < size:
+        while at < size and not text[at].isspace():
+            at += 1
+        blank = at
+        while blank < size and text[blank].isspace():
+            blank += 1
+        word = blank
+        while word < size and not text[word].isspace():
+            word += 1
+        if not _goes_on(text[blank:word]):
+            break
+        at = word
+    return at
+
+
+def _stretches(text: str, spelled: bool = True) -> list[Span]:
+    """Parts of a text that the transducers could change, with margins, merged where they meet.
+
+    No part ends within a name or a run of numbers, so what is found doesn't depend on the margin.
+    """
+    marks = [m.span() for pattern in (_ANY_DISGUISE, *([_ANY_SPELLED] if spelled else [])) for m in pattern.finditer(text)]
     if not text.isascii():
         marks += [m.span() for m in _SUSPECT.finditer(text)]
     merged: list[list[int]] = []
     for a, b in sorted(marks):
-        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
+        done = merged[-1][1] if merged else 0
+        if merged and b + MARGIN <= done:
+            continue
+        a = a - MARGIN if a - MARGIN <= done else _left(text, a - MARGIN, done)
+        b = _right(text, max(done, min(len(text), b + MARGIN)))
+        if merged and a <= done:
+            merged[-1][1] = b
         else:
-            merged.append([a, b])
+            merged.append([max(0, a), b])
     return [(a, b) for a, b in merged]
 
 
-def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans that only the rewritten text shows, mapped to the source."""
+def _spelled_table() -> np.ndarray:
+    known = np.zeros(TERMS, bool)
+    known[[i for word in SPELLED for i in term_ids(word).tolist()]] = True
+    return known
+
+
+_SPELLED_TERMS = _spelled_table()
+
+
+def may_spell(texts: list[str]) -> list[bool]:
+    """Which texts may have a spelled digit beside another digit: hashed words of all texts at once, errors only by excess."""
+    out = [False] * len(texts)
+    first = 0
+    for group in together(texts):
+        words, text_of = Words.of_many(group)
+        if len(words):
+            spelled = _SPELLED_TERMS[words.terms]
+            heads = np.frombuffer(words.data, np.uint8)
+            numbers = spelled | ((heads[words.starts] >= 48) & (heads[words.starts] <= 57)) | ((heads[words.ends - 1] >= 48) & (heads[words.ends - 1] <= 57))
+            beside = (spelled[:-1] & numbers[1:] | numbers[:-1] & spelled[1:]) & (text_of[:-1] == text_of[1:])
+            for k in np.unique(text_of[:-1][beside]).tolist():
+                out[first + k] = True
+        first += len(group)
+    return [
+        o or bool(_DIGIT_LETTER.search(t)) or (not t.isascii() and bool(_ODD_CASE.search(t))) for o, t in zip(out, texts, strict=True)
+    ]
+
+
+def added_spans(text: str, base: dict[str, list[Span]], spelled: bool = True) -> dict[str, list[Span]]:
+    """Spans that only the rewritten text shows, mapped to the source; ``spelled`` tells if it may have spelled digits."""
     added: dict[str, list[Span]] = {kind: [] for kind in KINDS}
-    for a, b in _stretches(text):
+    for a, b in _stretches(text) if spelled else _stretches(text, False):
         m = _shapes(Mapped(text[a:b], list(range(a, b)), list(range(a + 1, b + 1))))
         m = _digits(_signs(m))
         for kind, spans in plain_spans(m.text).items():
@@ -236,11 +336,11 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
     return added
 
 
-def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
+def find(text: str | None, spelled: bool = True) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Base spans, and base and added spans together, by kind."""
     text = text or ""
     base = plain_spans(text)
-    more = added_spans(text, base)
+    more = added_spans(text, base, spelled)
     return base, {kind: sorted(set(base[kind]) | set(more[kind])) for kind in KINDS}
 
 
@@ -254,8 +354,9 @@ def digests(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, hashes, spans, n_added = [], [], [], []
-            for value in batch.column(1).to_pylist():
-                base, all_of = find(value)
+            texts = [value or "" for value in batch.column(1).to_pylist()]
+            for value, spelled in zip(texts, may_spell(texts), strict=True):
+                base, all_of = find(value, spelled)
                 counts.append([len(base[k]) for k in KINDS])
                 hashes.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(all_of))
