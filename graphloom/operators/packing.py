@@ -14,6 +14,10 @@ from ..graph import Graph
 from ..sources.edge_list import ranked
 
 
+#: Rows that a step takes together where it works in global order.
+_BLOCK = 65_536
+
+
 def _keys(by: str) -> tuple[str, str]:
     return ("dst", "src") if by == "dst" else ("src", "dst")
 
@@ -21,11 +25,14 @@ def _keys(by: str) -> tuple[str, str]:
 def pack(graph: Graph, by: str = "dst", lanes: int = 4) -> DataFrame:
     """(key, slot, neighbours): the edges of each vertex in sorted order, ``lanes`` a row."""
     key, neighbour = _keys(by)
-    order = Window.partitionBy("key").orderBy("neighbour")
-    placed = graph.edges.select(F.col(key).alias("key"), F.col(neighbour).alias("neighbour")).withColumn("at", F.row_number().over(order) - 1)
-    slot = F.floor(F.col("at") / lanes).cast("long")
-    grouped = placed.groupBy("key", slot.alias("slot")).agg(F.array_sort(F.collect_list("neighbour")).alias("neighbours"))
-    return grouped.select("key", "slot", "neighbours")
+    placed = ranked(graph.edges.select(F.col(key).alias("key"), F.col(neighbour).alias("neighbour")), ["key", "neighbour"])
+    placed = placed.withColumn("block", F.floor(F.col("position") / _BLOCK).cast("long"))
+    # where each key starts, handed to the blocks it spans: a large key's edges meet a block at a time
+    starts = placed.groupBy("key").agg(F.min("position").alias("start"))
+    spans = placed.select("key", "block").distinct().join(starts, "key")
+    slot = F.floor((F.col("position") - F.col("start")) / lanes).cast("long")
+    packed = placed.join(spans, ["key", "block"]).groupBy("key", slot.alias("slot"))
+    return packed.agg(F.array_sort(F.collect_list("neighbour")).alias("neighbours"))
 
 
 def pack_stats(graph: Graph, by: str = "dst", lanes: int = 4) -> DataFrame:
@@ -48,7 +55,7 @@ def vertex_index(graph: Graph, by: str = "dst", lanes: int = 4) -> DataFrame:
     sized = graph.edges.groupBy(F.col(key).alias("id")).agg(F.ceil(F.count("*") / lanes).cast("long").alias("n_vectors"))
     placed = ranked(sized, ["id"])
     # sums within blocks of consecutive keys, then over blocks: no window spans all keys
-    block = F.floor(F.col("position") / 65_536).cast("long")
+    block = F.floor(F.col("position") / _BLOCK).cast("long")
     placed = placed.withColumn("block", block)
     blocks = placed.groupBy("block").agg(F.sum("n_vectors").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

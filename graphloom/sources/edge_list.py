@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..lineage import cut, new_path, release
 
 SUFFIXES = ("-pull", "-push")
 _RECORD = 16
@@ -77,25 +78,45 @@ def read(spark: SparkSession, name: str, check: bool = True) -> Graph:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of a batch without the last byte, which is 0 for every vertex below 2**56: the line separator stands in for it."""
     for batch in batches:
-        pairs = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], ["piece"])
+        if batch.num_rows:
+            pairs = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("<i8")
+            if pairs[-1, 1] >> 56:
+                raise ValueError(f"no vertex number: {pairs[-1, 1]}")
+            yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()[:-1]], pa.binary())], ["piece"])
 
 
 def write(graph: Graph, name: str) -> None:
-    """Both files of a graph. The format is one file with one header, so pieces pass in order through one stream."""
+    """Both files of a graph.
+
+    Tasks sort, encode and write the records as parts, through the text sink with a NUL as line separator.
+    The format is one file with one header, so the store's API then puts the parts' bytes behind the header.
+    """
     spark = graph.edges.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    n, m = graph.n_vertices, graph.n_edges
     for suffix, order in zip(SUFFIXES, (("dst", "src"), ("src", "dst")), strict=True):
-        path = jvm.org.apache.hadoop.fs.Path(name + suffix)
-        out = path.getFileSystem(conf).create(path, True)
+        parts = new_path(spark, "records")
         try:
-            out.write(struct.pack("<QQ", graph.n_vertices, graph.n_edges))
             pieces = graph.edges.orderBy(*order).select("src", "dst").mapInArrow(_encode, "piece binary")
-            for row in pieces.toLocalIterator():
-                out.write(bytes(row["piece"]))
+            pieces.select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\0").text(parts)
+            folder, path = hadoop.fs.Path(parts), hadoop.fs.Path(name + suffix)
+            store = folder.getFileSystem(conf)
+            names = sorted(f.getPath().getName() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+            out = path.getFileSystem(conf).create(path, True)
+            try:
+                out.write(struct.pack("<QQ", n, m))
+                for part in names:
+                    records = store.open(hadoop.fs.Path(folder, part))
+                    try:
+                        hadoop.io.IOUtils.copyBytes(records, out, 1 << 20, False)
+                    finally:
+                        records.close()
+            finally:
+                out.close()
         finally:
-            out.close()
+            release(spark, parts)
 
 
 def edge_lines(graph: Graph) -> DataFrame:
@@ -113,8 +134,6 @@ def ranked(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     each partition its first position. The sorted rows are written, so that both uses
     see the same partitions.
     """
-    from ..lineage import cut
-
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_at")))

@@ -114,10 +114,27 @@ def test_packing(tiny, by, vectors):
     assert sum(r["n_vertices"] for r in ranges) == 8
 
 
+def test_packing_of_a_key_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_BLOCK", 8)
+    rng = random.Random(5)
+    edges = [(rng.randrange(40), 7 if i % 3 else rng.randrange(40)) for i in range(200)]
+    packed = {(r["key"], r["slot"]): r["neighbours"] for r in packing.pack(made(spark, 40, edges)).collect()}
+    expected = {}
+    for key in {d for _, d in edges}:
+        sources = sorted(s for s, d in edges if d == key)
+        expected |= {(key, at // 4): sources[at : at + 4] for at in range(0, len(sources), 4)}
+    assert packed == expected
+
+
 def test_edge_list_files(spark, tiny, tmp_path):
     edge_list.write(tiny, str(tmp_path / "g"))
     raw = (tmp_path / "g-pull").read_bytes()
     assert struct.unpack("<4Q", raw[:32]) == (8, 10, 3, 0)
+    by_source = struct.unpack("<22Q", (tmp_path / "g-push").read_bytes())
+    assert list(zip(by_source[2::2], by_source[3::2], strict=True)) == sorted(EDGES)
+    far = Graph.dense(spark, 1 << 47, spark.createDataFrame([((1 << 47) - 1, 200), (128, (1 << 47) - 1)], "src long, dst long"))
+    edge_list.write(Graph(far.vertices.limit(0), far.edges), str(tmp_path / "far"))
+    assert struct.unpack("<4Q", (tmp_path / "far-push").read_bytes()[16:]) == (128, (1 << 47) - 1, (1 << 47) - 1, 200)
     back = edge_list.read(spark, str(tmp_path / "g"))
     assert sorted(map(tuple, back.edges.collect())) == sorted(EDGES)
     (tmp_path / "bad-pull").write_bytes(struct.pack("<2Q", 8, 11) + raw[16:])
