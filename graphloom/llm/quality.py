@@ -1,21 +1,29 @@
 """Quality classification by co-training (operator 6).
 
-Two views of a document: its text (shape, repetition, vocabulary, measured on the whole
-text) and its page metadata (language, source, stated length). A logistic
-classifier per view starts from labelled rows. In each round each view labels the
-unlabelled rows it is surest of, in the labelled classes' proportion, and hands
-them to the other view as training rows; a view never learns from its own guesses.
-Both views are then calibrated (Platt scaling) on labelled rows kept back from
-training, and their calibrated log-odds are combined, weighted by how well each
-view does there, into the score of every document.
-
-Fitting sees at most ``max_labelled`` labelled and ``max_pool`` unlabelled rows (the
-lowest by a hash of doc_id), as numbers; sources beyond the ``max_sources`` most
-frequent ones, counted over all documents, share one indicator. Scoring is a map
-over all rows.
+Two views of a document: its text (shape, repetition, vocabulary and hashed words,
+measured on the whole text) and its page metadata (language and source). A logistic
+classifier per view starts from labelled rows. In each round each view hands all
+unlabelled rows that it is surest of, in the labelled classes' proportion, to the
+other view as training rows, and both are fitted again; a view never learns from its
+own guesses. Both views are then calibrated (Platt scaling) on labelled rows kept
+back from training, and their calibrated log-odds are combined, weighted by how well
+each view does there, into the score of every document.
+
+A view is sure of a row whose odds differ from the base rate's by a factor of
+``SURE`` or more. In round r of ``rounds`` it hands over the surest ones, up to r x
+``growth`` of all unlabelled rows (at least ``STEP`` of log-odds deep, so that ties
+stay together); where it is sure of one kind only it hands over none. Handed rows
+weigh, together, r / ``rounds`` x ``trust`` of the labelled rows, however many there are.
+
+All unlabelled rows take part, a million as a hundred: features are written once, and
+each pass over them sums a histogram, counts by metadata or a Newton step's sums in
+the tasks. The driver gets those sums and at most ``max_labelled`` labelled rows (the
+lowest by a hash of doc_id). Sources beyond the ``max_sources`` and languages beyond
+the ``max_langs`` most frequent ones, counted over all documents, share an indicator.
 
 Cases: null and empty texts have the features of an empty text; null metadata is
-a value of its own; a null doc_id is scored and never learned from; repeated rows
+a value of its own; a null doc_id is scored and counts as unlabelled; of rows that
+share a labelled doc_id one (the least by its features) is learned from; repeated rows
 are scored alike; with labels of one kind (or none) every score is that kind's share
 (0.5 without labels); an empty table gives no rows; extra columns are ignored.
 """
@@ -24,37 +32,53 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import new_path, release, written
 from .batches import small_batches
 from .toxicity import held_out, logistic
 
 MAX_LABELLED = 20_000
-MAX_POOL = 20_000
+MAX_LANGS = 100
 MAX_SOURCES = 200
-ROUNDS = 5
-#: Share of the pool that a view hands over in a round.
+ROUNDS = 4
+#: Share of the unlabelled rows that a view hands over in a round, at most.
 GROWTH = 0.02
+#: Weight of handed rows in the last round, labelled rows being 1.
+TRUST = 0.5
+#: How far a view's odds must be from the base rate's to count as sure.
+SURE = 4.0
 THRESHOLD = 0.5
 
+#: Log-odds lie within +-30, in a histogram of this step.
+STEP = 0.05
+_BINS = round(60 / STEP) + 1
+#: Newton steps on the text view in a round, from the weights of the round before.
+_NEWTON = 2
+_RIDGE = 3e-3
+
 _ODD = re.compile(r"[^\w\s.,;:!?'\"()-]")
-N_TEXT = 14
+N_SHAPE = 14
+#: Words fall into this many classes by a hash; a text has its share of each.
+N_WORDS = 64
+N_TEXT = N_SHAPE + N_WORDS
 
 
 def text_view(text: str | None) -> list[float]:
-    """Shape of a whole text, as numbers of moderate size."""
+    """Shape and words of a whole text, as numbers of moderate size."""
     text = text or ""
     n, words, lines = len(text), text.split(), text.split("\n")
     count = len(words)
     if not count:
-        return [0.0] * (N_TEXT - 1) + [1.0]
+        return [0.0] * (N_SHAPE - 1) + [1.0] + [0.0] * N_WORDS
     tally = Counter(words)
     distinct = len(tally)
     repeated = sum(1 for a, b in zip(words, words[1:], strict=False) if a == b)
@@ -63,6 +87,9 @@ def text_view(text: str | None) -> list[float]:
     ends = text.count(".") + text.count("!") + text.count("?")
     length = sum(map(len, words)) / count
     entropy = math.log(count) - sum(c * math.log(c) for c in tally.values()) / count
+    shares = [0.0] * N_WORDS
+    for word, c in tally.items():
+        shares[zlib.crc32(word.encode("utf-8", "surrogatepass")) % N_WORDS] += c / count
     return [
         math.log(count),
         length / 10,
@@ -78,27 +105,31 @@ def text_view(text: str | None) -> list[float]:
         math.log(n / len(lines)) / 10,
         tally.most_common(1)[0][1] / count,
         0.0,
+        *(math.sqrt(s) for s in shares),
     ]
 
 
 @dataclass(frozen=True)
 class Metadata:
-    """One-hot languages and frequent sources, and the stated length."""
+    """Frequent languages and sources; the page view of a row is its cell, a pair of them."""
 
     langs: tuple[str, ...]
     sources: tuple[str, ...]
 
-    def view(self, lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-        size = math.log1p(max(0, n_chars or 0))
-        return [
-            *(float(lang == x) for x in self.langs),
-            float(lang is None),
-            *(float(source == x) for x in self.sources),
-            float(source is None),
-            size / 10,
-            (size / 10) ** 2,
-            float(n_chars is None),
-        ]
+    @property
+    def cells(self) -> int:
+        return (len(self.langs) + 2) * (len(self.sources) + 2)
+
+    def cell(self, langs: list[str | None], sources: list[str | None]) -> np.ndarray:
+        """A number for each row's pair; null and rare values have numbers of their own."""
+        places = [{None: 0} | {x: k + 2 for k, x in enumerate(names)} for names in (self.langs, self.sources)]
+        a, b = ([place.get(x, 1) for x in column] for place, column in zip(places, (langs, sources), strict=True))
+        return np.array(a, np.int64) * (len(self.sources) + 2) + np.array(b, np.int64)
+
+    def view(self, cells: np.ndarray) -> np.ndarray:
+        """Indicators of the language and the source."""
+        a, b = np.divmod(cells, len(self.sources) + 2)
+        return np.column_stack([a[:, None] == np.arange(len(self.langs) + 2), b[:, None] == np.arange(len(self.sources) + 2)]).astype(float)
 
 
 @dataclass(frozen=True)
@@ -110,18 +141,15 @@ class View:
     weights: np.ndarray
     platt: tuple[float, float] = (0.0, 1.0)
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> View:
-        mean, spread = x.mean(axis=0), x.std(axis=0)
-        spread = np.where(spread > 1e-9, spread, 1.0)
-        return cls(mean, spread, logistic((x - mean) / spread, y, ridge=3e-3))
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(x)), (x - self.mean) / self.spread])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.weights[0] + ((x - self.mean) / self.spread) @ self.weights[1:], -30, 30)
+        return np.clip(self.scaled(x) @ self.weights, -30, 30)
 
     def calibrated(self, x: np.ndarray, y: np.ndarray) -> View:
         a, b = logistic(self.raw(x)[:, None], y, ridge=1e-2)
-        return View(self.mean, self.spread, self.weights, (float(a), max(0.0, float(b))))
+        return replace(self, platt=(float(a), max(0.0, float(b))))
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return self.platt[0] + self.platt[1] * self.raw(x)
@@ -134,118 +162,230 @@ class Model:
     mix: tuple[float, ...]
     base: float
 
-    def score(self, text: np.ndarray, page: np.ndarray) -> np.ndarray:
+    def score(self, text: np.ndarray, cells: np.ndarray) -> np.ndarray:
         if not self.views:
             return np.full(len(text), self.base)
-        odds = self.mix[0] + self.mix[1] * self.views[0].odds(text) + self.mix[2] * self.views[1].odds(page)
+        odds = self.mix[0] + self.mix[1] * self.views[0].odds(text) + self.mix[2] * self.views[1].odds(self.metadata.view(cells))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def _balanced(p: np.ndarray, free: np.ndarray, share: float, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The surest rows of either kind among the free ones, in the labelled proportion, and their labels."""
-    rows = np.flatnonzero(free)
-    order = rows[np.argsort(p[rows], kind="stable")]
-    good, bad = max(1, round(n * share)), max(1, round(n * (1 - share)))
-    low, high = order[:bad], order[len(order) - good :]
-    low, high = low[p[low] < 0.2], high[p[high] > 0.8]
-    return np.concatenate([low, high]), np.concatenate([np.zeros(len(low)), np.ones(len(high))])
+def newton_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the weighted log-loss at ``w``, in one array."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    hessian = (x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x
+    return np.concatenate([x.T @ (weight * (p - y)), hessian.reshape(-1)])
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pools: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, growth: float = GROWTH) -> tuple[View, View]:
-    """Classifiers of the two views after exchanging their surest guesses on the pool."""
-    extra: list[tuple[list[np.ndarray], list[np.ndarray]]] = [([], []), ([], [])]
-    free = [np.ones(len(pools[0]), bool), np.ones(len(pools[0]), bool)]
+def newton_step(sums: np.ndarray, total: float, w: np.ndarray) -> np.ndarray:
+    """Weights after a step with the sums of rows that weigh ``total``."""
+    d = len(w)
+    penalty = np.full(d, _RIDGE)
+    penalty[0] = 1e-9
+    return w - np.linalg.solve(sums[d:].reshape(d, d) / total + np.diag(penalty), sums[:d] / total + penalty * w)
 
-    def fitted(v: int) -> View:
-        rows = [views[v], *(pools[v][r] for r in extra[v][0])]
-        return View.fit(np.vstack(rows), np.concatenate([y, *extra[v][1]]))
 
-    current = [fitted(0), fitted(1)]
-    for _ in range(rounds):
-        if not free[0].any() or not free[1].any():
+def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, steps: int = 40) -> np.ndarray:
+    for _ in range(steps):
+        before, w = w, newton_step(newton_sums(x, y, weight, w), weight.sum(), w)
+        if np.abs(w - before).max() < 1e-8:
             break
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-current[teacher].raw(pools[teacher])))
-            rows, guessed = _balanced(p, free[pupil], float(y.mean()), max(2, int(growth * len(p))))
-            if len(rows):
-                extra[pupil][0].append(rows)
-                extra[pupil][1].append(guessed)
-                free[pupil][rows] = False
-        current = [fitted(0), fitted(1)]
-    return current[0], current[1]
+    return w
+
+
+def bins(odds: np.ndarray) -> np.ndarray:
+    return np.rint((odds + 30) / STEP).astype(np.int64)
 
 
-def _views(rows: DataFrame, metadata: Metadata, extra: list[str]) -> DataFrame:
-    """(extra columns, x array<double>): both views of each row, text first."""
+def cuts(histogram: np.ndarray, base: float, rows: float) -> tuple[int, int] | None:
+    """The highest bin of surely bad rows and the lowest of surely good ones; none without rows of both kinds.
+
+    About ``rows`` rows lie beyond the cuts, in the proportion of ``base``, ends of whole bins.
+    """
+    centre, far = math.log(base / (1 - base)), math.log(SURE)
+    low_end, high_end = math.floor((centre - far + 30) / STEP), math.ceil((centre + far + 30) / STEP)
+    low, high = np.flatnonzero(histogram[: max(0, low_end + 1)]), high_end + np.flatnonzero(histogram[high_end:])
+    if not len(low) or not len(high):
+        return None
+    in_low, in_high = np.cumsum(histogram[low]), np.cumsum(histogram[high][::-1])
+    a = max(0, np.searchsorted(in_low, rows * (1 - base), "right") - 1)
+    b = max(0, np.searchsorted(in_high, rows * base, "right") - 1)
+    return int(low[a]), int(high[::-1][b])
+
+
+def _summed(rows: DataFrame, partial, size: int) -> np.ndarray:
+    """The sum, over all (text, cell) batches of rows, of arrays of ``size`` numbers that ``partial`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[-4:]]
-            x = [text_view(t) + metadata.view(a, s, n) for t, a, s, n in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(x, pa.list_(pa.float64()))], [*extra, "x"])
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in extra] + ["x array<double>"])
-    return rows.select(*extra, "text", "lang", "source", "n_chars").mapInArrow(run, schema)
+            total += partial(_matrix(batch.column(0)), batch.column(1).to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["at", "v"])
+
+    out = np.zeros(size)
+    sums = rows.select("x", "cell").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out[sums.column("at").to_numpy()] = sums.column("v").to_numpy()
+    return out
+
+
+def _matrix(x: pa.Array) -> np.ndarray:
+    """Text views as rows of a matrix."""
+    return np.asarray(x.flatten(), dtype=float).reshape(len(x), N_TEXT)
+
+
+def co_train(
+    pool: DataFrame, metadata: Metadata, text: View, page: View, x: np.ndarray, cells: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, growth: float = GROWTH, trust: float = TRUST
+) -> tuple[View, View]:
+    """The two views after exchanging their surest guesses on the pool; ``x``, ``cells`` and ``y`` are the labelled rows."""
+    base, n = float(y.mean()), len(y)
+    xs, ps, ones = text.scaled(x), page.scaled(metadata.view(cells)), np.ones(n)
+    text = replace(text, weights=fitted(xs, y, ones, text.weights))
+    page = replace(page, weights=fitted(ps, y, ones, page.weights))
+    per_cell = _summed(pool, lambda _, c: np.bincount(c, minlength=metadata.cells), metadata.cells)
+    every = np.flatnonzero(per_cell)
+    in_cells, size = per_cell[every], per_cell.sum()
+    every_page = page.scaled(metadata.view(every))
+
+    def shares(counts: np.ndarray, weight: float) -> np.ndarray:
+        """What a handed bad and a handed good row weigh."""
+        return weight * np.array([1 - base, base]) / np.maximum(counts, 1)
+
+    for r in range(1, rounds + 1 if size else 1):
+        weight = trust * n * r / rounds
+        # guesses of the page view are guesses about cells
+        in_bin = bins(page.raw(metadata.view(every)))
+        sure = cuts(np.bincount(in_bin, in_cells, _BINS), base, r * growth * size)
+        guess = np.full(metadata.cells, -1)
+        if sure:
+            guess[every[in_bin <= sure[0]]], guess[every[in_bin >= sure[1]]] = 0, 1
+        guessed = guess[every]
+        each = shares(np.array([in_cells[guessed == k].sum() for k in (0, 1)]), weight)
+        # guesses of the text view, counted by cell
+        teacher = text
+        histogram = _summed(pool, lambda t, _: np.bincount(bins(teacher.raw(t)), minlength=_BINS), _BINS)  # noqa: B023
+        handed = cuts(histogram, base, r * growth * size)
+        if handed:
+
+            def by_cell(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+                at = bins(teacher.raw(t))  # noqa: B023
+                return np.concatenate([np.bincount(c[some], minlength=metadata.cells) for some in (at <= handed[0], at >= handed[1])])  # noqa: B023
+
+            counts = _summed(pool, by_cell, 2 * metadata.cells).reshape(2, -1)[:, every]
+            weights = counts * shares(counts.sum(axis=1), weight)[:, None]
+            page_weights = fitted(np.vstack([ps, every_page, every_page]), np.concatenate([y, np.zeros(len(every)), np.ones(len(every))]), np.concatenate([ones, *weights]), page.weights)
+        else:
+            page_weights = fitted(ps, y, ones, page.weights)
+        # both views learn from what the other one was before this round
+        if sure:
+            for _ in range(_NEWTON):
+                now = text
+
+                def step(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+                    some = guess[c] >= 0  # noqa: B023
+                    label = guess[c[some]]  # noqa: B023
+                    return newton_sums(now.scaled(t[some]), label, each[label], now.weights)  # noqa: B023
+
+                d = len(now.weights)
+                sums = _summed(pool, step, d * (d + 1)) + newton_sums(xs, y, ones, now.weights)
+                text = replace(now, weights=newton_step(sums, n + weight, now.weights))
+        else:
+            text = replace(text, weights=fitted(xs, y, ones, text.weights))
+        page = replace(page, weights=page_weights)
+    return text, page
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.col("lang").cast("string").alias("lang"),
-        F.col("source").cast("string").alias("source"),
-        F.col("n_chars").cast("long").alias("n_chars"),
-    )
+    return docs.select(*(F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, max_sources: int = MAX_SOURCES) -> Model:
-    rows = _plain(docs)
-    small_batches(docs.sparkSession)
-    # counted over all rows; max_sources names reach the driver
+def _features(rows: DataFrame, metadata: Metadata) -> DataFrame:
+    """(doc_id, x array<float>, cell): both views of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array([text_view(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float32()))
+            cells = metadata.cell(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), x, pa.array(cells, pa.int64())], ["doc_id", "x", "cell"])
+
+    return rows.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, x array<float>, cell long")
+
+
+def _metadata(rows: DataFrame, max_langs: int, max_sources: int) -> Metadata:
+    # counted over all rows; that many names reach the driver
     frequent = lambda c, n: tuple(r[c] for r in rows.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(n).collect())
-    metadata = Metadata(frequent("lang", 100), frequent("source", max_sources))
+    return Metadata(frequent("lang", max_langs), frequent("source", max_sources))
+
+
+def _fit(stored: DataFrame, metadata: Metadata, labels: DataFrame, target: str, max_labelled: int) -> Model:
+    """The model of stored feature rows (doc_id, x, cell, known)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)
     )
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    taught = known.where(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(*by_hash).limit(max_labelled)
-    ids = rows.where("doc_id is not null").select("doc_id").distinct()
-    pool = ids.join(known.select("doc_id"), "doc_id", "left_anti").orderBy(*by_hash).limit(max_pool).select("doc_id", F.lit(-1).alias("y"))
-    # at most max_labelled + max_pool rows of 12 bytes: bounded by the parameters
-    chosen = rows.join(F.broadcast(taught.union(pool)), "doc_id").dropDuplicates(["doc_id"])
-    data = _views(chosen, metadata, ["doc_id", "y"]).orderBy("doc_id").toPandas()
-    y, x = data["y"].to_numpy(), np.array(data["x"].tolist(), dtype=float).reshape(len(data), -1)
-    is_known = y >= 0
-    if not is_known.any() or len(set(y[is_known])) < 2:
-        return Model(metadata, (), (), float(y[is_known].mean()) if is_known.any() else 0.5)
-    text, page = x[:, :N_TEXT], x[:, N_TEXT:]
-    rank = np.cumsum(is_known)
-    kept_back = is_known & (rank % 4 == 0)
-    train = is_known & ~kept_back
+    taught = known.where(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    # at most max_labelled rows of 12 bytes: bounded by the parameter
+    chosen = stored.where("known").join(F.broadcast(taught), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "cell")).alias("f"), F.first("y").alias("y"))
+    data = chosen.select("doc_id", "y", "f.x", "f.cell").toArrow().sort_by("doc_id")
+    y, cells = data.column("y").to_numpy().astype(float), data.column("cell").to_numpy()
+    x = _matrix(data.column("x").combine_chunks())
+    if len(set(y)) < 2:
+        return Model(metadata, (), (), float(y.mean()) if len(y) else 0.5)
+    kept_back = np.arange(1, len(y) + 1) % 4 == 0
+    train = ~kept_back
     if len(set(y[kept_back])) < 2 or len(set(y[train])) < 2:
-        kept_back = train = is_known
-    views = co_train((text[train], page[train]), y[train].astype(float), (text[~is_known], page[~is_known]))
-    views = tuple(v.calibrated(part[kept_back], y[kept_back].astype(float)) for v, part in zip(views, (text, page), strict=True))
-    odds = np.column_stack([v.odds(part[kept_back]) for v, part in zip(views, (text, page), strict=True)])
-    mix = logistic(odds, y[kept_back].astype(float), ridge=1e-2)
-    return Model(metadata, views, tuple(float(m) for m in mix), float(y[is_known].mean()))
+        kept_back = train = np.ones(len(y), bool)
+    pool = stored.where(~F.col("known")).select("x", "cell")
+    spread = x[train].std(axis=0)
+    d = len(metadata.langs) + len(metadata.sources) + 4
+    text = View(x[train].mean(axis=0), np.where(spread > 1e-9, spread, 1.0), np.zeros(N_TEXT + 1))
+    page = View(np.zeros(d), np.ones(d), np.zeros(d + 1))
+    views = co_train(pool, metadata, text, page, x[train], cells[train], y[train])
+    back = (x[kept_back], metadata.view(cells[kept_back]))
+    views = tuple(v.calibrated(part, y[kept_back]) for v, part in zip(views, back, strict=True))
+    mix = logistic(np.column_stack([v.odds(part) for v, part in zip(views, back, strict=True)]), y[kept_back], ridge=1e-2)
+    return Model(metadata, views, tuple(float(m) for m in mix), float(y.mean()))
+
+
+def _stored(docs: DataFrame, labels: DataFrame, target: str, max_langs: int, max_sources: int, path: str) -> tuple[DataFrame, Metadata]:
+    """Features of all rows in shared storage, and whether each row's doc_id has a label."""
+    small_batches(docs.sparkSession)
+    rows = _plain(docs)
+    metadata = _metadata(rows, max_langs, max_sources)
+    ids = labels.where(F.col(target).cast("int").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    marked = _features(rows, metadata).join(ids.withColumn("known", F.lit(True)), "doc_id", "left")
+    return written(marked.select("doc_id", "x", "cell", F.coalesce("known", F.lit(False)).alias("known")), "quality", path), metadata
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, keep) of every row."""
+def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", max_labelled: int = MAX_LABELLED, max_langs: int = MAX_LANGS, max_sources: int = MAX_SOURCES) -> Model:
+    spark = docs.sparkSession
+    path = new_path(spark, "quality")
+    try:
+        stored, metadata = _stored(docs, labels, target, max_langs, max_sources, path)
+        return _fit(stored, metadata, labels, target, max_labelled)
+    finally:
+        release(spark, path)
+
 
+def _scored(features: DataFrame, model: Model, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[-4:]]
-            text = np.array([text_view(t) for t in columns[0]], dtype=float).reshape(-1, N_TEXT)
-            page = np.array([model.metadata.view(*m) for m in zip(*columns[1:], strict=True)], dtype=float).reshape(len(text), -1)
-            p = model.score(text, page)
+            p = model.score(_matrix(batch.column(1)), batch.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(p >= threshold)],
                 ["doc_id", "score", "predicted", "keep"],
             )
 
-    small_batches(docs.sparkSession)
-    scored = _plain(docs).mapInArrow(run, "doc_id long, score double, predicted int, keep boolean")
+    scored = features.select("doc_id", "x", "cell").mapInArrow(run, "doc_id long, score double, predicted int, keep boolean")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "keep")
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted, keep) of every row."""
+    small_batches(docs.sparkSession)
+    return _scored(_features(_plain(docs), model.metadata), model, threshold)
+
+
+def classified(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD, **limits: int) -> DataFrame:
+    """What :func:`score` gives with the model learned from the same documents, whose features are made once."""
+    limits = {"max_labelled": MAX_LABELLED, "max_langs": MAX_LANGS, "max_sources": MAX_SOURCES} | limits
+    stored, metadata = _stored(docs, labels, target, limits["max_langs"], limits["max_sources"], new_path(docs.sparkSession, "quality"))
+    return _scored(stored, _fit(stored, metadata, labels, target, limits["max_labelled"]), threshold)

@@ -42,7 +42,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return quality.classified(docs, table(spark, sf_dir, "labels"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -288,3 +289,82 @@ def test_quality_co_training(docs, spark, prose):
     assert quality.score(docs([]), model).count() == 0
     none = quality.learn(source, labels.where("quality = 1"))
     assert none.base == 1.0 and rows(quality.score(docs(["x"]), none))[0]["score"] == 1.0
+
+
+def brute_force_co_training(meta, text, page, x, cells, y, pool_x, pool_cells):
+    """Rounds over plain arrays, every row by itself."""
+    base, n = y.mean(), len(y)
+    ones, xs, ps = np.ones(n), text.scaled(x), page.scaled(meta.view(cells))
+    w = [quality.fitted(xs, y, ones, text.weights), quality.fitted(ps, y, ones, page.weights)]
+    pools = [text.scaled(pool_x), page.scaled(meta.view(pool_cells))]
+    handed_counts = []
+
+    def sure(odds, rows):
+        at = np.rint((odds + 30) / quality.STEP).astype(int)
+        centre, far = np.log(base / (1 - base)), np.log(quality.SURE)
+        picked = []
+        for sign, share in ((-1, 1 - base), (1, base)):
+            edge = sign * (centre + sign * far + 30) / quality.STEP
+            mine = [k for k in range(len(at)) if sign * at[k] >= np.ceil(edge)]
+            chosen = []
+            for value in sorted({int(at[k]) for k in mine}, reverse=sign > 0):
+                more = [k for k in mine if at[k] == value]
+                if chosen and len(chosen) + len(more) > rows * share:
+                    break
+                chosen += more
+            picked.append(chosen)
+        return picked if all(picked) else None
+
+    for r in range(1, quality.ROUNDS + 1):
+        weight, rows = quality.TRUST * n * r / quality.ROUNDS, r * quality.GROWTH * len(pool_x)
+        guesses = [sure(np.clip(part @ v, -30, 30), rows) for part, v in zip(pools, w, strict=True)]
+        handed_counts.append([g and [len(part) for part in g] for g in guesses])
+        after = []
+        for v, (own, found) in enumerate(((xs, guesses[1]), (ps, guesses[0]))):
+            rows_, labels, weights = [own], [y], [ones]
+            for label, share in ((0, 1 - base), (1, base)):
+                if found:
+                    rows_.append(pools[v][found[label]])
+                    labels.append(np.full(len(found[label]), float(label)))
+                    weights.append(np.full(len(found[label]), weight * share / len(found[label])))
+            args = [np.concatenate(part) for part in (rows_, labels, weights)]
+            after.append(quality.fitted(*args, w[v], steps=quality._NEWTON if v == 0 and found else 40))
+        w = after
+    return w, handed_counts
+
+
+def test_co_training_matches_rounds_over_plain_arrays(spark):
+    rng = np.random.default_rng(4)
+    meta = quality.Metadata(("en", "de"), ("a", "b", "c"))
+    kind = rng.random(900) < 0.6
+    x = rng.normal(size=(900, quality.N_TEXT)) + 0.4 * kind[:, None] * (np.arange(quality.N_TEXT) < 12)
+    x = x.astype(np.float32).astype(float)
+    sources = [rng.choice(["a", "b", "c", "z", None], p=[0.5, 0.2, 0.1, 0.1, 0.1] if k else [0.05, 0.05, 0.4, 0.4, 0.1]) for k in kind]
+    cells = meta.cell(list(rng.choice(["en", "de", "xx"], 900)), sources)
+    y, d = kind[:250].astype(float), meta.view(cells).shape[1]
+    text = quality.View(x[:250].mean(axis=0), x[:250].std(axis=0), np.zeros(quality.N_TEXT + 1))
+    page = quality.View(np.zeros(d), np.ones(d), np.zeros(d + 1))
+    pool = spark.createDataFrame(list(zip(x[250:].tolist(), cells[250:].tolist(), strict=True)), "x array<float>, cell long").repartition(5)
+    found = quality.co_train(pool, meta, text, page, x[:250], cells[:250], y)
+    expected, handed = brute_force_co_training(meta, text, page, x[:250], cells[:250], y, x[250:], cells[250:])
+    assert any(a for a, _ in handed) and any(b for _, b in handed)
+    for view, weights in zip(found, expected, strict=True):
+        assert np.abs(view.weights - weights).max() < 1e-5
+
+
+def test_quality_odd_rows(spark, docs, prose):
+    texts = [prose(40, k) if k % 2 else "x | y | 7 " * 30 for k in range(120)]
+    source, labels = docs(texts), spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, quality int")
+    odd = docs([*ODD, "word " * 300_000, "one of two", "two of two"], ids=[None, *range(200, 209), 5, 5])
+    once = quality.classified(source.union(odd), labels)
+    assert once.columns == ["doc_id", "held_out", "score", "predicted", "keep"]
+    found = rows(once)
+    assert len(found) == 132 and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in found)
+    # whichever way the rows lie, the same one of those with doc_id 5 is learned from
+    again = {(r["doc_id"], round(r["score"], 6)) for r in quality.classified(odd.union(source).repartition(7), labels).collect()}
+    assert again == {(r["doc_id"], round(r["score"], 6)) for r in found}
+    same = quality.score(source, quality.learn(source.union(odd), labels)).collect()
+    by_id = {r["doc_id"]: r["score"] for r in found}
+    assert all(abs(r["score"] - by_id[r["doc_id"]]) < 1e-6 for r in same if r["doc_id"] != 5)
+    assert quality.classified(docs([]), labels).count() == 0
+    assert {r["score"] for r in quality.classified(source, labels.limit(0)).collect()} == {0.5}
