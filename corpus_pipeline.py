@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.lineage import written
+from graphloom.lineage import tidy, written
 from graphloom.llm import bpe, decontaminate, neardup, secrets, toxicity
 from graphloom.llm.queries import RANK_FILE, table
 
@@ -54,4 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        tidy(spark)
     return docs

@@ -7,6 +7,7 @@ Only a local session without that setting (as in unit tests) gets a scratch fold
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,16 @@ def release(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what finished jobs left in the driver: plans that Python still names, broadcasts, shuffles; its heap shrinks back.
+
+    Spark drops a broadcast or a shuffle when the driver's collector finds that nothing refers to it, which may be
+    long after the job. For operators of many jobs, between their steps; nothing that is in use goes.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Rounds:
     """State that is replaced again and again: each round's table stands until the next one is complete.
 

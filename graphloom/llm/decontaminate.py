@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import tidy
 from .batches import small_batches
 
 TERM_BITS = 13
@@ -271,7 +272,10 @@ def fitted(docs: DataFrame, items: DataFrame, rank: int = RANK, idf: np.ndarray
     sums, counts = _summed(rows.mapInArrow(sketch, "slice int, v binary"), ((TERMS, width), np.float32), ((TERMS + 1,), np.int64))
     if idf is None:
         idf = np.log((1 + counts[TERMS]) / (1 + counts[:TERMS])) + 1e-3
-    q = _orthonormal(sums.astype(np.float64) * idf[:, None])
+    sums = sums.astype(np.float64)
+    sums *= idf[:, None]
+    q = _orthonormal(sums)
+    del sums
     table = q.astype(np.float32)
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,6 +454,7 @@ def detectors(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, overlap
         return
     small_batches(docs.sparkSession)
     idf, basis = fitted(docs, rows, rank)
+    tidy(docs.sparkSession)
     terms = idf[:, None] * basis
     blocks = -(-count // item_block)
     for block in range(blocks):

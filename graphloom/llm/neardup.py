@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import written
+from ..lineage import tidy, written
 from ..operators.components import weak_components
 from .batches import small_batches
 
@@ -348,23 +348,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, at_least: float) -> DataFrame:
 
 def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES, order: int = ORDER) -> DataFrame:
     """(doc_id, class_id) of each row: the smallest doc_id of its class of near duplicates."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     made = written(sketches(docs, hashes, order), "sketches")
     texts = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     texts = written(texts, "texts")
     members = written(_buckets(texts.where("id is not null")), "buckets")
     pairs = written(_hub_pairs(members, at_least), "pairs")
+    tidy(spark)
     links = written(_verified(pairs, docs, at_least), "links")
+    tidy(spark)
     found = written(weak_components(links, "a", "b"), "components")
+    tidy(spark)
     known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     more = _exact_pairs(known, docs, at_least)
     if more is not None:
         tried = pairs.union(pairs.select("id", "hub"))
         more = written(more.join(tried, ["hub", "id"], "left_anti"), "pairs")
+        tidy(spark)
         if not more.isEmpty():
             # stars of the classes so far, and the new links
             stars = found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-            found = weak_components(_verified(more, docs, at_least).select("a", "b").union(stars), "a", "b")
+            links = written(_verified(more, docs, at_least).select("a", "b").union(stars), "links")
+            tidy(spark)
+            found = written(weak_components(links, "a", "b"), "components")
+            tidy(spark)
     whole = made.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key", "left")
     return whole.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))
 

@@ -3,10 +3,10 @@
 ``weak_components`` ignores direction and works on ids of any orderable type by
 alternating large-star and small-star rounds: every round replaces the edges by
 links to smaller ids, so a path of length d shrinks to a star in O(log d) rounds
-where label propagation needs d. A round is two grouped minima (combined before
-the shuffle, so a hub is one number a task) and two equi-joins, which adaptive
-execution splits where a hub makes them uneven. Nothing reaches the driver but
-two numbers a round.
+where label propagation needs d. Links are kept with u > v, so that a round is two
+grouped minima (combined before the shuffle, so a hub is one number a task) and two
+equi-joins, which adaptive execution splits where a hub makes them uneven. Nothing
+reaches the driver but two numbers a round and a plan of four scans.
 """
 
 from __future__ import annotations
@@ -23,16 +23,16 @@ MAX_ROUNDS = 200
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Each larger end to the least neighbour of its smaller one; as u > v, that is the least of the links that leave v, or v itself."""
+    least = links.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    return links.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    """Smaller neighbours (u > v) to the least of them, which the vertex itself takes in its own place."""
+    down = links.distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    return down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = MAX_ROUNDS) -> DataFrame:

@@ -86,6 +86,28 @@ def test_classes_of_drifting_groups_equal_an_exact_join(docs, prose):
     assert found == {k: root(k) for k in range(len(texts))}
 
 
+def test_components_are_of_written_links(docs, prose, monkeypatch):
+    rng = random.Random(21)
+    group = [prose(120, 700).split()]
+    while len(group) < 60:
+        copy = list(rng.choice(group))
+        for _ in range(rng.randrange(1, 4)):
+            copy[rng.randrange(len(copy))] = "edit" + str(rng.randrange(100000))
+        group.append(copy)
+    plans, tidied, components = [], [], neardup.weak_components
+
+    def seen(links, *ends):
+        plans.append(links._jdf.queryExecution().sparkPlan().toString())
+        return components(links, *ends)
+
+    monkeypatch.setattr(neardup, "weak_components", seen)
+    monkeypatch.setattr(neardup, "tidy", tidied.append)
+    neardup.classes(docs([" ".join(g) for g in group]))
+    # else each use of the links holds all their texts against each other again, in one large plan
+    assert len(plans) == 2 and not any("MapInArrow" in p or "Join" in p for p in plans)
+    assert len(tidied) >= 4
+
+
 def test_repeats_on_one_side_and_moved_blocks_link(spark, docs, prose):
     words = prose(200, 31).split()
     a, b = (np.sort(neardup.sketch(neardup.labelled(neardup.shingles(neardup.word_hashes(" ".join(w))))[0])) for w in (words, words + words[:8]))

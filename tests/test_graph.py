@@ -89,6 +89,15 @@ def test_weak_components_of_random_graphs(spark):
         assert column(components.directed_components(graph.symmetrize()).state, "value") == [root(i) for i in range(n)]
 
 
+def test_a_round_of_components_reads_its_links_four_times(spark, tmp_path):
+    spark.createDataFrame([(2, 1), (3, 2), (4, 2)], "u long, v long").write.parquet(str(tmp_path / "links"))
+    links = spark.read.parquet(str(tmp_path / "links"))
+    step = components._small_star(components._large_star(links))
+    # the driver holds the plan, and its text anew whenever a stage ends
+    assert step.distinct()._jdf.queryExecution().sparkPlan().toString().count("FileScan") <= 4
+    assert sorted(step.distinct().collect()) == [(2, 1), (3, 1), (4, 1)]
+
+
 def test_no_edges(spark):
     empty = made(spark, 4, [])
     assert column(pagerank.pagerank(empty, 2), "rank") == pytest.approx([0.25] * 4)
