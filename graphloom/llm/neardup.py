@@ -215,21 +215,23 @@ def _buckets(texts: DataFrame) -> DataFrame:
     double = F.zip_with(F.slice("sketch", 1, F.size("sketch") - 1), F.slice("sketch", F.lit(2), F.size("sketch") - 1), lambda x, y: F.xxhash64(x, y))
     keys = texts.where("size(sketch) > 1").select("id", "n_shingles", F.explode(F.array_distinct(F.concat(single, double))).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return keys.join(shared, "key")
+    # merged by a hint: Spark takes the exploded rows for as small as the texts, and would broadcast millions of them
+    return keys.hint("merge").join(shared, "key")
 
 
 def _hub_pairs(members: DataFrame, at_least: float) -> DataFrame:
     """(hub, id): each bucket's members with its hub, where their sizes allow the similarity."""
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    # merged, as a bucket's rows are far larger than in their file
     hubs = (
-        members.join(weight, "id")
+        members.hint("merge").join(weight, "id")
         .groupBy("key")
         .agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), F.col("n_shingles").alias("size"))).alias("hub"))
         .select("key", (-F.col("hub.id")).alias("hub"), F.col("hub.size").alias("hub_size"))
     )
     smaller, larger = F.least("n_shingles", "hub_size"), F.greatest("n_shingles", "hub_size")
     return (
-        members.join(hubs, "key")
+        members.hint("merge").join(hubs, "key")
         .where((F.col("id") != F.col("hub")) & (smaller >= at_least * larger))
         .select("hub", "id")
         .distinct()
@@ -294,15 +296,16 @@ def _exact_pairs(known: DataFrame, docs: DataFrame, at_least: float) -> DataFram
     tokens = written(_prefixes(texts.join(_sized(left), "id").select("id", "component", "text"), at_least), "prefixes")
     sizes = tokens.groupBy("token", "component").agg(F.count("*").alias("size"))
     tops = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("classes"))
-    # written, so that the join below stands alone and a common token's rows can be split between tasks
-    every = written(tokens.join(tops.where("classes > 1").select("token", F.col("top.component").alias("top")), "token"), "tokens")
+    # written, so that the joins stand alone and a common token's rows can be split between tasks; merged as the buckets are
+    tops = written(tops.where("classes > 1").select("token", F.col("top.component").alias("top")), "tops")
+    every = written(tokens.hint("merge").join(tops, "token"), "tokens")
     x = every.where("component <> top").select("token", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "place")))
     y = every.select("token", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "place")))
     # the first token that two texts share bounds what they share in all
     shared = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     fits = (F.least("x_n", "y_n") >= at_least * F.greatest("x_n", "y_n") - 1e-9) & (shared >= at_least / (1 + at_least) * (F.col("x_n") + F.col("y_n")) - 1e-9)
     return (
-        x.join(y, "token")
+        x.hint("merge").join(y, "token")
         .where((F.col("x_component") != F.col("y_component")) & fits)
         .select(F.least("x_id", "y_id").alias("hub"), F.greatest("x_id", "y_id").alias("id"))
         .distinct()
@@ -360,7 +363,7 @@ def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES,
     tidy(spark)
     found = written(weak_components(links, "a", "b"), "components")
     tidy(spark)
-    known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = members.join(_sized(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
     more = _exact_pairs(known, docs, at_least)
     if more is not None:
         tried = pairs.union(pairs.select("id", "hub"))
@@ -374,12 +377,12 @@ def classes(docs: DataFrame, at_least: float = SIMILARITY, hashes: int = HASHES,
             found = written(weak_components(links, "a", "b"), "components")
             tidy(spark)
     whole = made.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key", "left")
-    return whole.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))
+    return whole.join(_sized(found), "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))
 
 
 def _sized(ids: DataFrame) -> DataFrame:
-    """Ids of a written table, to be broadcast where a count shows that they are few, else joined through a shuffle."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    """Ids of a written table, to be broadcast where a count shows that they are few, else merged (a file of many ids may look small)."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids.hint("merge")
 
 
 def keep_one(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:

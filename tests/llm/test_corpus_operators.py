@@ -108,6 +108,26 @@ def test_components_are_of_written_links(docs, prose, monkeypatch):
     assert len(tidied) >= 4
 
 
+def test_bucket_and_token_rows_are_never_broadcast(docs, prose, monkeypatch):
+    # Spark sizes rows after an explode, or of a file of runs, far too low: their joins must not go by that size
+    plans, stored = {}, neardup.written
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(neardup, "written", seen)
+    base = prose(120, 700).split()
+    # texts of different pairs share half their words: too few to link, enough for a bucket
+    texts = [" ".join(base[:60] + prose(60, 800 + k // 2).split() + [str(k)]) for k in range(40)]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(texts)).collect()}
+    assert found == {k: k - k % 2 for k in range(40)}
+    assert "Generate" in plans["buckets"][0] and "tokens" in plans
+    assert not any("Broadcast" in p for name in ("buckets", "tokens") for p in plans[name])
+    # the first pairs are of hubs; the second leave out what has been tried
+    assert "Join" in plans["pairs"][0] and "Broadcast" not in plans["pairs"][0]
+
+
 def test_repeats_on_one_side_and_moved_blocks_link(spark, docs, prose):
     words = prose(200, 31).split()
     a, b = (np.sort(neardup.sketch(neardup.labelled(neardup.shingles(neardup.word_hashes(" ".join(w))))[0])) for w in (words, words + words[:8]))
