@@ -52,6 +52,8 @@ BLOCK = 8
 _FIT_WORDS = 32
 #: Passages of the fit and blocks of the search at a time: their vectors stay in a core's cache.
 _FIT_ROWS = 128
+#: Words whose vectors are fetched at a time, for the same reason.
+_ROOM = 16 * _FIT_WORDS
 #: Occurrences among those from which a term counts as common.
 _COMMON = 3
 _ROWS = 1024
@@ -220,28 +222,45 @@ def _orthonormal(x: np.ndarray) -> np.ndarray:
     return np.linalg.qr(x)[0]
 
 
-def _add_products(total: np.ndarray, passage: np.ndarray, term: np.ndarray, weight: np.ndarray, table: np.ndarray) -> None:
-    """Adds A'(A table) to ``total`` for cells of A: common terms as a small matrix, others one occurrence after another."""
-    seen = np.zeros((int(passage[-1]) + 1, table.shape[1]), np.float32)
-    order = np.argsort(term, kind="stable")
+def _add_products(total: np.ndarray, passage: np.ndarray, term: np.ndarray, weight: np.ndarray, table: np.ndarray, room: np.ndarray) -> None:
+    """Adds A'(A table) to ``total`` for cells of A, in the order of their passages, of which each has one.
+
+    A table is a product a passage; A' takes common terms as a small matrix, others one occurrence after another.
+    Rows of the table go through ``room`` (of two halves), a few passages at a time, so that they stay in a core's cache.
+    """
+    cells = np.bincount(passage)
+    widest, width = int(cells.max()), table.shape[1]
+    place = passage * widest + np.arange(len(passage)) - (np.cumsum(cells) - cells)[passage]
+    # passages of fewer cells are filled up with cells of no weight
+    terms, weights = np.zeros(len(cells) * widest, np.int64), np.zeros(len(cells) * widest, np.float32)
+    terms[place], weights[place] = term, weight
+    seen = np.empty((len(cells), 1, width), np.float32)
+    half, step = len(room) // 2, max(1, len(room) // 2 // widest)
+    for k in range(0, len(cells), step):
+        part = terms[k * widest : (k + step) * widest]
+        rows = np.take(table, part, axis=0, out=room[: len(part)], mode="clip").reshape(-1, widest, width)
+        np.matmul(weights[k * widest : (k + step) * widest].reshape(-1, 1, widest), rows, out=seen[k : k + step])
+    seen = seen[:, 0]
+    # numbers of 16 bits are sorted by their digits
+    order = np.argsort(term.astype(np.uint16), kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
     times = np.diff(np.r_[starts, len(term)])
-    is_common = np.empty(len(term), bool)
-    is_common[order] = np.repeat(times > _COMMON, times)
-    common = term[order[starts[times > _COMMON]]]
+    is_common = times > _COMMON
+    common = term[order[starts[is_common]]]
+    mine = order[np.repeat(is_common, times)]
     dense = np.zeros((len(seen), len(common)), np.float32)
-    dense[passage[is_common], np.searchsorted(common, term[is_common])] = weight[is_common]
-    rest = np.flatnonzero(~is_common)
-    if len(rest):
-        at = np.flatnonzero(np.r_[True, np.diff(passage[rest]) != 0])
-        seen[passage[rest[at]]] = np.add.reduceat(weight[rest, None] * table[term[rest]], at)
-    seen += dense @ table[common]
+    dense[passage[mine], np.repeat(np.arange(len(common)), times[is_common])] = weight[mine]
     total[common] += dense.T @ seen
-    starts, times = starts[times <= _COMMON], times[times <= _COMMON]
+    starts, times = starts[~is_common], times[~is_common]
     for k in range(_COMMON):
         # each term once
-        cell = order[starts[times > k] + k]
-        total[term[cell]] += weight[cell, None] * seen[passage[cell]]
+        once = order[starts[times > k] + k]
+        for first in range(0, len(once), half):
+            cell = once[first : first + half]
+            more = np.take(seen, passage[cell], axis=0, out=room[: len(cell)], mode="clip")
+            more *= weight[cell, None]
+            more += np.take(total, term[cell], axis=0, out=room[half : half + len(cell)], mode="clip")
+            total[term[cell]] = more
 
 
 def fitted(docs: DataFrame, items: DataFrame, rank: int = RANK, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -280,10 +299,11 @@ def fitted(docs: DataFrame, items: DataFrame, rank: int = RANK, idf: np.ndarray
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TERMS, width))
+        room = np.empty((2 * _ROOM, width), np.float32)
         for batch in batches:
             part = np.zeros((TERMS, width), np.float32)
             for passage, term, weight in _passages(together(batch.column(0).to_pylist()), idf):
-                _add_products(part, passage, term, weight.astype(np.float32), table)
+                _add_products(part, passage, term, weight.astype(np.float32), table, room)
             total += part
         yield _sliced(total.astype(np.float32))
 
@@ -358,21 +378,24 @@ class Detector:
     def _norms(rows: np.ndarray) -> np.ndarray:
         return np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
 
-    def _words(self, size: int) -> np.ndarray:
+    def _sums(self, terms: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of each whole block of terms."""
         if self.buffer is None:
-            self.buffer = np.empty((size, self.terms.shape[1]), np.float32)
-        return self.buffer
+            # one buffer for all: fresh memory costs more than what is done with it
+            self.buffer = np.empty((_ROOM, self.terms.shape[1]), np.float32)
+        sums = np.empty((len(terms) // BLOCK, self.terms.shape[1]), np.float32)
+        for first in range(0, len(sums), _ROOM // BLOCK):
+            part = terms[first * BLOCK : first * BLOCK + _ROOM]
+            words = np.take(self.terms, part, axis=0, out=self.buffer[: len(part)], mode="clip")
+            words.reshape(-1, BLOCK, words.shape[1]).sum(axis=1, out=sums[first : first + _ROOM // BLOCK])
+        return sums
 
     def candidates(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(items, first blocks, blocks of a passage) of the passages near an item, in a run of whole blocks of terms."""
         # a long run in stretches that overlap by the longest passage
         reach, step = self.spans[-1][0], _ROWS
         for start in range(0, len(terms) // BLOCK, step):
-            part = terms[start * BLOCK : (start + step + reach) * BLOCK]
-            # one buffer for all stretches: fresh memory costs more than what is done with it
-            words = self._words((step + reach) * BLOCK)[: len(part)]
-            np.take(self.terms, part, axis=0, out=words, mode="clip")
-            sums, width, stride = words.reshape(-1, BLOCK, words.shape[1]).sum(axis=1), 1, 1
+            sums, width, stride = self._sums(terms[start * BLOCK : (start + step + reach) * BLOCK]), 1, 1
             for span, items, vectors in self.spans:
                 while width < span:
                     # passages of twice the width, half a passage apart: sums of two of half the width
@@ -380,9 +403,10 @@ class Detector:
                     beside = sums[width // stride :: max(1, width // stride)]
                     wider[: len(beside)] += beside
                     sums, stride, width = wider, width, width * 2
-                near = sums @ vectors >= self.near * self._norms(sums)
-                if near.any():
-                    rows, cols = np.nonzero(near)
+                # as one row: many times faster than rows and columns
+                near = np.flatnonzero(sums @ vectors >= self.near * self._norms(sums))
+                if len(near):
+                    rows, cols = np.divmod(near, len(items))
                     yield items[cols], start + rows * stride, span
 
     def find_many(self, texts: list[str | None]) -> list[list[tuple[int | None, float]]]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -241,6 +242,27 @@ def test_basis_covers_all_documents(docs, prose):
     assert 1 / np.linalg.norm(basis[:, 0]) == pytest.approx(np.linalg.eigvalsh(rows @ rows.T)[-1], rel=0.02)
 
 
+def test_products_of_passages_match_matrices_and_fetch_few_rows_at_a_time():
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(decontaminate.TERMS, 144)).astype(np.float32)
+    room = np.empty((2 * decontaminate._ROOM, 144), np.float32)
+    total, wanted = np.zeros_like(table), np.zeros(table.shape)
+    for few, most in ((decontaminate.TERMS, 32), (40, 9), (decontaminate.TERMS, 1)):
+        # passages of any number of cells; terms that many, some or no passages share
+        cells = [np.unique(rng.integers(0, few, rng.integers(1, most + 1))) for _ in range(decontaminate._FIT_ROWS)]
+        passage, term = np.repeat(np.arange(len(cells)), list(map(len, cells))), np.concatenate(cells)
+        weight = rng.random(len(term)).astype(np.float32)
+        matrix = np.zeros((len(cells), decontaminate.TERMS))
+        matrix[passage, term] = weight
+        wanted += matrix.T @ (matrix @ table)
+        tracemalloc.start()
+        decontaminate._add_products(total, passage, term, weight, table, room)
+        # less than a row of the table for each cell
+        assert most < 32 or tracemalloc.get_traced_memory()[1] < len(term) * table.shape[1] * table.itemsize
+        tracemalloc.stop()
+    assert np.allclose(total, wanted, rtol=1e-3, atol=1e-3)
+
+
 def test_decontamination_of_nothing(docs, benchmark):
     items, _ = benchmark
     assert decontaminate.contaminated(docs([]), items).count() == 0
